@@ -6,14 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import merkle, sentencepiece_dropout, simhash, token_count
-from .common import read
+from . import langid, merkle, quality, sentencepiece_dropout, simhash, token_count
+from .common import held_out, read
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_dropout.encode(read(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs, training=~held_out()), spans=False)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels"), training=~held_out()))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
