@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, merkle, quality, sentencepiece_dropout, simhash, token_count
+from . import html_style_tree, langid, merkle, quality, sentencepiece_dropout, simhash, token_count
 from .common import held_out, read
 
 
@@ -14,6 +14,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_dropout.encode(read(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_style_tree.extract(read(spark, sf_dir, "pages"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs, training=~held_out()), spans=False)
