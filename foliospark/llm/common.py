@@ -6,8 +6,6 @@ Python worker's memory follows one piece and not the size of an Arrow batch or p
 
 from __future__ import annotations
 
-import contextlib
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -67,10 +65,10 @@ _POW = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """P**i and P**-i mod 2**64 for i < n."""
     if len(_POW[0]) < n:
-        n = max(n, 1 << 16)
+        size = max(n, 1 << 16)
         with np.errstate(over="ignore"):
             for k, p in enumerate((_P, pow(_P, -1, 1 << 64))):
-                a = np.full(n, np.uint64(p))
+                a = np.full(size, np.uint64(p))
                 a[0] = 1
                 _POW[k] = np.multiply.accumulate(a)
     return _POW[0][:n], _POW[1][:n]
@@ -107,11 +105,6 @@ def words_of(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-@contextlib.contextmanager
-def _nothing():
-    yield
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster; a folder of our own only where none is set, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
@@ -133,10 +126,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def fresh(prefix: str) -> str:
-    return f"{prefix}_{uuid.uuid4().hex[:12]}"
-
-
 def held_out(col: str = "doc_id"):
     """The contract's fold: crc32 of the id as text, remainder 1 of 3."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % 3 == 1
