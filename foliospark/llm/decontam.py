@@ -39,8 +39,12 @@ MASK = (1 << 20) - 1
 
 
 def word_strings(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[str]:
-    text = low.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-    return [text[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    """The words as text; only what lies between the first and the last is decoded."""
+    if not len(start):
+        return []
+    base = int(start[0])
+    text = low[base : int(end[-1])].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    return [text[a:b] for a, b in zip((start - base).tolist(), (end - base).tolist(), strict=True)]
 
 
 def pairs_of(words: np.ndarray) -> np.ndarray:
@@ -114,27 +118,29 @@ class _Class:
         self.own, self.width, self.need = own, long, need
         rng = np.random.default_rng([seed, short])
         steps = max(2 * short, SAMPLED)
-        self.places = [np.sort(rng.choice(steps, SAMPLED, replace=False)) for _ in range(REPEATS)]
+        self.places = [sorted(rng.choice(steps, SAMPLED, replace=False).tolist()) for _ in range(REPEATS)]
         self.odd = rng.integers(0, 1 << 63, (REPEATS, steps), dtype=np.uint64) << np.uint64(1) | np.uint64(1)
         x = np.zeros((len(own), long + 1), np.uint64)
         for r, i in enumerate(own):
             x[r, : items.size[i]] = items.hashes[i][0]
         self.tables = []
-        for r in range(REPEATS):
-            k = self.keys(x, r)
+        for k in self.keys(x):
             order = np.argsort(k, kind="stable")
             self.tables.append((k[order], np.array(own)[order]))
 
-    def keys(self, x: np.ndarray, r: int) -> np.ndarray:
-        """The key of each row of words (zero after its last) under walk r."""
-        at, key, rows = np.zeros(len(x), np.int64), np.zeros(len(x), np.uint64), np.arange(len(x))
-        sampled = set(self.places[r].tolist())
+    def keys(self, x: np.ndarray) -> np.ndarray:
+        """[walks, rows] keys of rows of words (zero after each one's last)."""
+        flat, width = x.ravel(), x.shape[1]
+        at = np.broadcast_to(np.arange(len(x), dtype=np.int64) * width, (REPEATS, len(x))).copy()
+        key = np.zeros((REPEATS, len(x)), np.uint64)
         with np.errstate(over="ignore"):
-            for j in range(int(self.places[r][-1]) + 1):
-                w = x[rows, at]
-                if j in sampled:
-                    key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + w)
-                at = np.minimum(at + ((w * self.odd[r, j]) >> np.uint64(63)).astype(np.int64), x.shape[1] - 1)
+            for j in range(max(int(p[-1]) for p in self.places) + 1):
+                w = flat[at]
+                for r in range(REPEATS):
+                    if j in self.places[r]:
+                        key[r] = mix64(key[r] * np.uint64(0x9E3779B97F4A7C15) + w[r])
+                # past the last word stands a zero, which never moves on
+                at += ((w * self.odd[:, j, None]) >> np.uint64(63)).view(np.int64)
         return key
 
 
@@ -157,20 +163,18 @@ def candidates(items: Items, words: np.ndarray, first: np.ndarray, hit: np.ndarr
         p, n, stop = p[keep], n[keep], stop[keep]
         if not len(p):
             continue
-        # none within half a width holds clearly more
+        # no window within a width holds clearly more
         dense = np.zeros(len(words), np.int32)
         dense[p] = n
-        half = max(1, c.width // 2)
-        best = _slide_max(dense, half)
-        keep = n >= 0.8 * best[p]
+        best = _slide_max(dense, c.width)
+        keep = n >= 0.85 * best[p]
         p, stop = p[keep], stop[keep]
-        for k in range(0, len(p), 20_000):
-            q, s = p[k : k + 20_000], stop[k : k + 20_000]
+        for k in range(0, len(p), 4_000):
+            q, s = p[k : k + 4_000], stop[k : k + 4_000]
             at = q[:, None] + np.arange(c.width)
             x = np.zeros((len(q), c.width + 1), np.uint64)
             x[:, :-1] = np.where(at < s[:, None], words[np.minimum(at, len(words) - 1)], 0)
-            for r in range(REPEATS):
-                key = c.keys(x, r)
+            for r, key in enumerate(c.keys(x)):
                 table, own = c.tables[r]
                 lo, hi = np.searchsorted(table, key), np.searchsorted(table, key, side="right")
                 for w in np.flatnonzero(hi > lo).tolist():
