@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_style_tree, langid, license_scan, merkle, quality, sentencepiece_dropout, simhash, token_count
+from . import decontam, html_style_tree, langid, license_scan, merkle, quality, sentencepiece_dropout, simhash, substring, token_count
 from .common import held_out, read
 
 
@@ -40,6 +40,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(read(spark, sf_dir, "documents"))
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.passages(read(spark, sf_dir, "documents"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents"))
 
