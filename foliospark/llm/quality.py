@@ -3,8 +3,8 @@
 Two dictionaries are trained, one on blocks of text labelled good, one on bad. A text's blocks
 are compressed with each; d = (good size - bad size) / (good size + bad size) is the normalised
 difference, over all blocks of the whole text and for its worst block. Text that repeats itself is
-tiny under both dictionaries, so the logarithm of the better size over the raw size joins, again for the
-text and its worst block. A logistic curve of these four, fitted on labelled rows that no dictionary
+tiny under both dictionaries, so the logarithm of its size under neither over the raw size joins, again
+for the text and its worst block (under neither, since a text that a dictionary holds is tiny under that). A logistic curve of these four, fitted on labelled rows that no dictionary
 saw, gives the probability (Platt's smoothed targets).
 
 Fitting reads a bounded sample: at most ``per_class`` labelled rows of each class, those with the
@@ -50,17 +50,17 @@ class Model:
         if not raw or not self.good or not self.bad:
             return [0.0] * FEATURES
         if self._packers is None:
-            self._packers = [_packer(d) for d in (self.good, self.bad)]
-        g, b = self._packers
-        x = y = k = 0
+            self._packers = [_packer(d) for d in (self.good, self.bad, b"")]
+        g, b, plain = self._packers
+        x = y = z = k = 0
         worst, least, n = -1.0, 0.0, len(raw)
         while k < n:
             to = n if n - k < BLOCK_BYTES + 64 else k + BLOCK_BYTES
             block = raw[k:to]
-            i, j = len(g(block)), len(b(block))
-            worst, least = max(worst, (i - j) / (i + j)), min(least, math.log(min(i, j) / (to - k + 20)))
-            x, y, k = x + i, y + j, to
-        return [(x - y) / (x + y), worst, math.log(min(x, y) / (n + 20)), least]
+            i, j, own = len(g(block)), len(b(block)), len(plain(block))
+            worst, least = max(worst, (i - j) / (i + j)), min(least, math.log(own / (to - k + 20)))
+            x, y, z, k = x + i, y + j, z + own, to
+        return [(x - y) / (x + y), worst, math.log(z / (n + 20)), least]
 
     def score(self, f: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(np.clip(-(f @ np.array(self.weights) + self.shift), -500, 500)))
@@ -69,6 +69,8 @@ class Model:
 def _packer(data: bytes):
     import zstandard
 
+    if not data:
+        return zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, write_content_size=False).compress
     d = zstandard.ZstdCompressionDict(data)
     d.precompute_compress(level=LEVEL)
     return zstandard.ZstdCompressor(dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress
