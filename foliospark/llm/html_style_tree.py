@@ -11,7 +11,8 @@ says menu, header, footer, sidebar, notice, advert, form or comments; what is le
 Scale: blocks are counted by (host, path, content) with map-side combining, so a hot host is
 spread over its contents. Contents of low importance are few by construction: each stands in
 m**(1 - least) pages at least, so a host has at most blocks_per_page * m**least of them. Their list
-joins the pages by host; AQE broadcasts it when small, and else may split a hot host's pages.
+joins the pages by host. Hosts that hold a share of 1 / ``HOT`` of all pages or more (so ``HOT`` hosts at
+most, the only thing broadcast) are dealt over as many parts as they hold such shares, each with a copy of the list.
 
 Defined cases: null or empty html gives '' and 0; null urls share one host ''; hosts under ``min_pages``
 pages lose nothing by importance; headings and paragraphs inside an article are never dropped by it;
@@ -29,7 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, map_arrow
+from .common import batch, cut, map_arrow
+
+HOT = 10_000
+#: Pages that one task takes of a host in any case.
+HOST_PAGES = 1_000
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -162,8 +167,8 @@ def node_key(path: int, text: str) -> int:
     return _signed(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), path & 0xFFFFFFFFFFFFFFFF))
 
 
-def low_importance(pages: DataFrame, *, least: float, min_pages: int, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """host and keys: the (path, content) nodes of low importance of each host that has any."""
+def node_counts(pages: DataFrame, *, min_pages: int, url_col: str, html_col: str) -> DataFrame:
+    """host, key, n: in how many pages of a host each (path, content) stands, from ``min_pages`` on; key 0 stands for the pages themselves."""
 
     def run(b):
         host, key = [], []
@@ -175,10 +180,22 @@ def low_importance(pages: DataFrame, *, least: float, min_pages: int, id_col: st
             key += own
         yield batch(host=pa.array(host, pa.string()), key=pa.array(key, pa.int64()))
 
-    counts = map_arrow(pages.select(F.col(url_col).cast("string"), F.col(html_col).cast("string")), run, "host string, key long").groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    return map_arrow(pages.select(F.col(url_col).cast("string"), F.col(html_col).cast("string")), run, "host string, key long").groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+
+
+def hot_hosts(counts: DataFrame) -> DataFrame:
+    """host and parts (2 or more) of the at most ``HOT`` hosts that one task should not hold."""
+    sizes = counts.where("key = 0")
+    share = max(HOST_PAGES, -(-(sizes.agg(F.sum("n")).first()[0] or 0) // HOT))
+    return sizes.where(F.col("n") > share).select("host", F.ceil(F.col("n") / share).cast("long").alias("parts"))
+
+
+def low_importance(counts: DataFrame, hot: DataFrame, *, least: float) -> DataFrame:
+    """host, part and keys: the (path, content) nodes of low importance of each host that has any."""
     sizes = counts.where("key = 0").select("host", F.col("n").alias("m"))
     low = counts.where("key <> 0").join(sizes, "host").where(1 - F.log(F.col("n").cast("double")) / F.log(F.col("m").cast("double")) <= least)
-    return low.groupBy("host").agg(F.collect_list("key").alias("keys"))
+    listed = low.groupBy("host").agg(F.collect_list("key").alias("keys")).join(F.broadcast(hot), "host", "left")
+    return listed.select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), "keys")
 
 
 def main_text(page: str, low: frozenset[int] | set[int] = frozenset()) -> str:
@@ -191,9 +208,13 @@ def main_text(page: str, low: frozenset[int] | set[int] = frozenset()) -> str:
 
 def extract(pages: DataFrame, *, least: float = 0.2, min_pages: int = 5, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    low = low_importance(pages, least=least, min_pages=min_pages, id_col=id_col, url_col=url_col, html_col=html_col)
+    counts = cut(node_counts(pages, min_pages=min_pages, url_col=url_col, html_col=html_col))
+    hot = hot_hosts(counts)
+    low = low_importance(counts, hot, least=least)
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/:?#]+)", 1))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host")).join(low, "host", "left").select("page_id", "url", "html", "keys")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
+    dealt = rows.join(F.broadcast(hot), "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.coalesce("parts", F.lit(1))))
+    rows = dealt.join(low, ["host", "part"], "left").select("page_id", "url", "html", "keys")
 
     def run(b):
         texts = [main_text(h or "", frozenset(k) if k else frozenset()) for h, k in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]

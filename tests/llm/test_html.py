@@ -43,3 +43,14 @@ def test_empty_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "http://a/", "<p>x</p>", "t", 5, "h", None)], "page_id long, url string, html string, text string, n_chars int, host string, keys string")
     assert h.extract(df).first().text == "x"
     assert h.extract(df.limit(0)).count() == 0
+
+
+def test_hot_hosts_are_dealt_and_change_nothing(spark, monkeypatch):
+    rows = [(k, f"http://{'hot' if k % 3 else k % 9}.example/{k}", f"<body><div><p>{prose(k, 5)}</p></div><div><p>Furniture</p></div></body>") for k in range(90)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {r.page_id: r.text for r in h.extract(df).collect()}
+    monkeypatch.setattr(h, "HOST_PAGES", 7)
+    counts = h.node_counts(df, min_pages=5, url_col="url", html_col="html")
+    assert {r.host: r.parts for r in h.hot_hosts(counts).collect()}["hot.example"] == 9
+    assert {r.page_id: r.text for r in h.extract(df).collect()} == want
+    assert want[1] == prose(1, 5)
