@@ -6,6 +6,8 @@ import functools
 import hashlib
 import struct
 
+import numpy as np
+
 from .syntax import HexText, PdfError, Ref, Stream, Text
 
 #: The padding of passwords (32 bytes fixed by the format).
@@ -72,51 +74,65 @@ def _schedule(key: bytes) -> list[list[int]]:
     return [sum(w[k : k + 4], []) for k in range(0, len(w), 4)]
 
 
-def _encrypt_block(keys: list[list[int]], block: bytes) -> bytes:
+@functools.cache
+def _fast() -> list[list[int]]:
+    """Four tables that join the S-box with the mixing of columns, as 32-bit words."""
     box, _, mul = _tables()
-    m2, m3 = mul[2], mul[3]
-    s = [a ^ b for a, b in zip(block, keys[0], strict=True)]
-    for k in keys[1:-1]:
-        s = [box[s[(i + 4 * (i % 4)) % 16]] for i in range(16)]
-        t = []
-        for c in range(0, 16, 4):
-            a, b, d, e = s[c : c + 4]
-            t += [m2[a] ^ m3[b] ^ d ^ e, a ^ m2[b] ^ m3[d] ^ e, a ^ b ^ m2[d] ^ m3[e], m3[a] ^ b ^ d ^ m2[e]]
-        s = [a ^ b for a, b in zip(t, k, strict=True)]
-    return bytes(box[s[(i + 4 * (i % 4)) % 16]] ^ keys[-1][i] for i in range(16))
-
-
-def _decrypt_block(keys: list[list[int]], block: bytes) -> bytes:
-    _, inv, mul = _tables()
-    m9, m11, m13, m14 = mul[9], mul[11], mul[13], mul[14]
-    s = [a ^ b for a, b in zip(block, keys[-1], strict=True)]
-    for k in reversed(keys[:-1]):
-        s = [inv[s[(i - 4 * (i % 4)) % 16]] ^ k[i] for i in range(16)]
-        if k is not keys[0]:
-            t = []
-            for c in range(0, 16, 4):
-                a, b, d, e = s[c : c + 4]
-                t += [m14[a] ^ m11[b] ^ m13[d] ^ m9[e], m9[a] ^ m14[b] ^ m11[d] ^ m13[e], m13[a] ^ m9[b] ^ m14[d] ^ m11[e], m11[a] ^ m13[b] ^ m9[d] ^ m14[e]]
-            s = t
-    return bytes(s)
+    first = [mul[2][s] << 24 | s << 16 | s << 8 | mul[3][s] for s in box]
+    return [[(v >> 8 * k | v << (32 - 8 * k)) & 0xFFFFFFFF for v in first] for k in range(4)]
+
+
+@functools.lru_cache(maxsize=64)
+def _words(key: bytes) -> list[int]:
+    return [int.from_bytes(bytes(r[k : k + 4]), "big") for r in _schedule(key) for k in range(0, 16, 4)]
 
 
 def aes_cbc_encrypt(key: bytes, iv: bytes, data: bytes) -> bytes:
     """Without padding; data is whole blocks."""
-    keys, out = _schedule(key), bytearray()
-    for k in range(0, len(data), 16):
-        iv = _encrypt_block(keys, bytes(a ^ b for a, b in zip(data[k : k + 16], iv, strict=True)))
-        out += iv
-    return bytes(out)
+    w, (t0, t1, t2, t3), box = _words(key), _fast(), _tables()[0]
+    last = len(w) - 4
+    out = []
+    a, b, c, d = struct.unpack(">4I", iv)
+    for p, q, r, s in struct.iter_unpack(">4I", data):
+        a, b, c, d = a ^ p ^ w[0], b ^ q ^ w[1], c ^ r ^ w[2], d ^ s ^ w[3]
+        for k in range(4, last, 4):
+            a, b, c, d = (
+                t0[a >> 24] ^ t1[b >> 16 & 255] ^ t2[c >> 8 & 255] ^ t3[d & 255] ^ w[k],
+                t0[b >> 24] ^ t1[c >> 16 & 255] ^ t2[d >> 8 & 255] ^ t3[a & 255] ^ w[k + 1],
+                t0[c >> 24] ^ t1[d >> 16 & 255] ^ t2[a >> 8 & 255] ^ t3[b & 255] ^ w[k + 2],
+                t0[d >> 24] ^ t1[a >> 16 & 255] ^ t2[b >> 8 & 255] ^ t3[c & 255] ^ w[k + 3],
+            )
+        a, b, c, d = (
+            (box[a >> 24] << 24 | box[b >> 16 & 255] << 16 | box[c >> 8 & 255] << 8 | box[d & 255]) ^ w[last],
+            (box[b >> 24] << 24 | box[c >> 16 & 255] << 16 | box[d >> 8 & 255] << 8 | box[a & 255]) ^ w[last + 1],
+            (box[c >> 24] << 24 | box[d >> 16 & 255] << 16 | box[a >> 8 & 255] << 8 | box[b & 255]) ^ w[last + 2],
+            (box[d >> 24] << 24 | box[a >> 16 & 255] << 16 | box[b >> 8 & 255] << 8 | box[c & 255]) ^ w[last + 3],
+        )
+        out += (a, b, c, d)
+    return struct.pack(f">{len(out)}I", *out)
 
 
 def aes_cbc_decrypt(key: bytes, iv: bytes, data: bytes) -> bytes:
-    keys, out = _schedule(key), bytearray()
-    for k in range(0, len(data) - 15, 16):
-        block = data[k : k + 16]
-        out += bytes(a ^ b for a, b in zip(_decrypt_block(keys, block), iv, strict=True))
-        iv = block
-    return bytes(out)
+    """All blocks at once: in decryption none waits for another."""
+    whole = np.frombuffer(data[: len(data) // 16 * 16], np.uint8).reshape(-1, 16)
+    _, inverse, mul = _tables()
+    inv = np.array(inverse, np.uint8)
+    m = {k: np.array(mul[k], np.uint8) for k in (9, 11, 13, 14)}
+    keys = [np.array(k, np.uint8) for k in _schedule(key)]
+    back = [(i - 4 * (i % 4)) % 16 for i in range(16)]
+    s = whole ^ keys[-1]
+    for n in range(len(keys) - 2, -1, -1):
+        s = inv[s[:, back]] ^ keys[n]
+        if n:
+            a, b, c, d = (s[:, k::4] for k in range(4))
+            t = np.empty_like(s)
+            t[:, 0::4] = m[14][a] ^ m[11][b] ^ m[13][c] ^ m[9][d]
+            t[:, 1::4] = m[9][a] ^ m[14][b] ^ m[11][c] ^ m[13][d]
+            t[:, 2::4] = m[13][a] ^ m[9][b] ^ m[14][c] ^ m[11][d]
+            t[:, 3::4] = m[11][a] ^ m[13][b] ^ m[9][c] ^ m[14][d]
+            s = t
+    before = np.vstack([np.frombuffer(iv, np.uint8)[None, :], whole[:-1]]) if len(whole) else whole
+    return (s ^ before).tobytes()
 
 
 def pad(data: bytes) -> bytes:

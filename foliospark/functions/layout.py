@@ -42,7 +42,13 @@ def nice_max(v: Column) -> Column:
 
 
 def format_integer(n: Column) -> Column:
-    return F.when(n >= 1_000_000, F.concat(F.format_string("%.1f", n / 1_000_000), F.lit("M"))).when(n >= 10_000, F.concat(F.format_string("%.1f", n / 1_000), F.lit("K"))).otherwise(n.cast("string"))
+    """A million or more as 'x.xM', ten thousand or more as 'x.xK', halves up; in whole numbers, so that no rounding of doubles shows."""
+
+    def short(unit: int, mark: str) -> Column:
+        tenths = F.floor((n + unit // 20) / (unit // 10)).cast("long")
+        return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(mark))
+
+    return F.when(n >= 1_000_000, short(1_000_000, "M")).when(n >= 10_000, short(1_000, "K")).otherwise(n.cast("string"))
 
 
 def clamp(v: Column, lo: float, hi: float) -> Column:
