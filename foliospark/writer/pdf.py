@@ -424,9 +424,7 @@ class Pdf:
 
     def resolve_style(self, style) -> dict:
         """A name, a mapping, or a mapping with ``style`` naming its parent."""
-        if isinstance(style, str):
-            return dict(self.styles.get(style, {}))
-        style = dict(style or {})
+        style = dict(self.styles.get(style, {})) if isinstance(style, str) else dict(style or {})
         parent = style.pop("style", None)
         return {**self.resolve_style(parent), **{k: v for k, v in style.items() if v is not None}} if parent else style
 
