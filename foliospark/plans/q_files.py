@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import result
+from ..session import spread
 from ..sources import sinks
 from ..sources.files import extract
 from .q_text import read
@@ -79,7 +80,7 @@ def codec_roundtrip(spark, sf_dir):
         sha = lambda b: hashlib.sha256(b).hexdigest()
         return sha(filters.flate(zlib.compress(raw), {})), sha(filters.ascii85(base64.a85encode(raw) + b"~>", {})), sha(filters.ascii_hex(raw.hex().encode() + b">", {}))
 
-    return read(spark, sf_dir, "documents").select("doc_id", trip("text").alias("t")).select("doc_id", "t.*")
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", trip("text").alias("t")).select("doc_id", "t.*")
 
 
 @query("SELECT r_regionkey AS doc_id, CAST(1 AS INTEGER) AS pages, count(*) + 2 AS texts FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey")

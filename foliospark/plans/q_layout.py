@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..codes import qr
 from ..functions import codes as C
 from ..functions import layout as Y
+from ..session import spread
 from ..streaming import ingest
 from .q_text import read
 from .registry import query
@@ -173,7 +174,7 @@ def qr_version_capacity(spark, sf_dir):
 @query("SELECT c_custkey, 21 AS size, 21 * 21 AS modules FROM customer WHERE length(substr(c_name, 10)) <= 14")
 def qr_matrices(spark, sf_dir):
     m = C.qr_modules(F.expr("substring(c_name, 10)"))
-    return read(spark, sf_dir, "customer").select("c_custkey", m.alias("m")).select("c_custkey", F.size("m").alias("size"), F.size(F.flatten("m")).alias("modules"))
+    return spread(read(spark, sf_dir, "customer").select("c_custkey", "c_name")).select("c_custkey", m.alias("m")).select("c_custkey", F.size("m").alias("size"), F.size(F.flatten("m")).alias("modules"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

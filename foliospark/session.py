@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -19,3 +19,13 @@ def share_package(spark: SparkSession) -> SparkSession:
     if ROOT not in had.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, had) if x)
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its input has fewer partitions than those, as a table of one row group has.
+
+    For steps that cost far more than a shuffle of their rows. Inputs of any size have partitions enough and stay as they are."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -8,9 +8,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 
 def map_documents(df: DataFrame, make: Callable[[dict], bytes | None], id_col: str = "doc_id") -> DataFrame:
-    """doc_id, content: the bytes that ``make`` gives of each row (None: no content). One row in, one out, no shuffle."""
+    """doc_id, content: the bytes that ``make`` gives of each row (None: no content). One row in, one out; no shuffle but for an input of few partitions."""
     names = df.columns
 
     def run(batches):
@@ -19,7 +21,8 @@ def map_documents(df: DataFrame, make: Callable[[dict], bytes | None], id_col: s
                 rows = b.slice(k, 256).to_pylist()
                 yield pa.RecordBatch.from_arrays([pa.array([r[id_col] for r in rows], pa.int64()), pa.array([make(r) for r in rows], pa.binary())], names=["doc_id", "content"])
 
-    return df.select(*[F.col(n).cast("long").alias(n) if n == id_col else F.col(n) for n in names]).mapInArrow(run, "doc_id long, content binary")
+    rows = df.select(*[F.col(n).cast("long").alias(n) if n == id_col else F.col(n) for n in names])
+    return spread(rows).mapInArrow(run, "doc_id long, content binary")
 
 
 def texts_to_pdf(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", title_col: str | None = None, font: str = "Courier", font_size: float = 10, margin: float = 40, width: float = 595, lines_per_page: int = 50, user_password: str | None = None, owner_password: str | None = None, cipher: str = "aes128") -> DataFrame:
