@@ -21,14 +21,8 @@ def meta_wide(meta: DataFrame) -> DataFrame:
 
 def tokens_with_shapes(runs: DataFrame, annotations: DataFrame | None = None, **line_options) -> tuple[DataFrame, DataFrame]:
     """(tokens with kind and shape_seq, shapes). Shapes are inferred with default line options whatever is given for the lines."""
-    tokens = L.tokens_from_runs(runs, **line_options)
-    heads = L.lines_from_runs(runs, **line_options).select("doc_id", "page", "line_no", "y")
-    placed = tokens.join(heads, ["doc_id", "page", "line_no"])
-    if line_options:
-        plain = L.tokens_from_runs(runs).join(L.lines_from_runs(runs).select("doc_id", "page", "line_no", "y"), ["doc_id", "page", "line_no"])
-    else:
-        plain = placed
-    inferred = S.shapes_from_tokens(plain)
+    placed = L.placed_tokens(runs, **line_options)
+    inferred = S.shapes_from_tokens(L.placed_tokens(runs) if line_options else placed)
     given = S.shapes_from_annotations(annotations) if annotations is not None else inferred.limit(0)
     shapes = S.union_shapes(given, inferred)
     return S.attach_shapes(placed, shapes), shapes

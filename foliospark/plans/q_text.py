@@ -192,7 +192,7 @@ def attach_shapes(spark, sf_dir):
     from pyspark.sql import Window
 
     runs = documents_runs(spark, sf_dir)
-    placed = L.tokens_from_runs(runs).join(L.lines_from_runs(runs).select("doc_id", "page", "line_no", "y"), ["doc_id", "page", "line_no"])
+    placed = L.placed_tokens(runs)
     w = Window.partitionBy("doc_id").orderBy("page", "line_no", "token_no")
     some = placed.where("text like '%.'")  # a made-up link on each token that ends a sentence
     shapes = some.select("doc_id", "page", (F.col("x") - 3).alias("x1"), (F.col("x") + 40).alias("x2"), (F.col("y") - 1).alias("y1"), (F.col("y") + 1).alias("y2"), F.lit("uri").alias("type"), F.row_number().over(w).alias("shape_seq"))
@@ -238,7 +238,7 @@ SELECT doc_id, page, type, target, source, CAST(row_number() OVER (PARTITION BY
 def union_shapes(spark, sf_dir):
     """Links that annotations give and those that tokens hold, numbered together (pages' addresses stand for annotations)."""
     runs = documents_runs(spark, sf_dir)
-    placed = L.tokens_from_runs(runs).join(L.lines_from_runs(runs).select("doc_id", "page", "line_no", "y"), ["doc_id", "page", "line_no"])
+    placed = L.placed_tokens(runs)
     null = F.lit(None)
     ann = read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit(1).alias("page"), F.lit("link").alias("type"), F.lit(0.0).alias("x1"), F.lit(900.0).alias("y1"), F.lit(0.0).alias("x2"), F.lit(900.0).alias("y2"), "url", null.cast("int").alias("dest_page"), null.cast("string").alias("contents"))
     return S.union_shapes(S.shapes_from_annotations(ann), S.shapes_from_tokens(placed)).select("doc_id", "page", "type", "target", "source", "shape_seq")
