@@ -10,8 +10,8 @@ Candidates are verified by exact edit distance of the characters (bit-parallel,
 best-fitting stretch of the neighbourhood), and kept at ``least`` similarity or more.
 
 Windows are embedded where they can matter: where the window holds at least a share ``GATE`` of the
-pairs of neighbouring words of eight letters or more that the class's items have (all pairs, for an item with few long ones), and no
-window near holds clearly more. Heavily edited copies without one such pair in seven are outside the
+pairs of neighbouring words of eight letters or more that the class's items have (all pairs, for an item with few long ones); what
+stands beside a window never keeps it out. Heavily edited copies without one such pair in seven are outside the
 recall target.
 
 Scale: map only over the documents. Items travel with the tasks in slices of at most ``SLICE_CHARS``
@@ -160,15 +160,9 @@ def candidates(items: Items, words: np.ndarray, first: np.ndarray, hit: np.ndarr
         stop = np.minimum(p + c.width, first[p])
         n = run[np.maximum(stop - 1, p) + (c.width == 1)] - run[p]
         keep = n >= c.need
-        p, n, stop = p[keep], n[keep], stop[keep]
+        p, stop = p[keep], stop[keep]
         if not len(p):
             continue
-        # no window within a width holds clearly more
-        dense = np.zeros(len(words), np.int32)
-        dense[p] = n
-        best = _slide_max(dense, c.width)
-        keep = n >= 0.85 * best[p]
-        p, stop = p[keep], stop[keep]
         for k in range(0, len(p), 4_000):
             q, s = p[k : k + 4_000], stop[k : k + 4_000]
             at = q[:, None] + np.arange(c.width)
@@ -182,18 +176,6 @@ def candidates(items: Items, words: np.ndarray, first: np.ndarray, hit: np.ndarr
     return out
 
 
-def _slide_max(v: np.ndarray, half: int) -> np.ndarray:
-    """Largest value within ``half`` places, by doubling."""
-    n = 2 * half + 1
-    pad = np.concatenate([np.zeros(half, v.dtype), v, np.zeros(half, v.dtype)])
-    width = 1
-    while width * 2 <= n:
-        pad = np.maximum(pad[:-width], pad[width:])
-        width *= 2
-    rest = n - width
-    return np.maximum(pad[: len(pad) - rest], pad[rest:]) if rest else pad
-
-
 def scan_texts(items: Items, texts: list[str], least: float) -> list[tuple[int, int, int, float, int, int]]:
     """(text, item id, distance, similarity, start, end in characters)."""
     codes, at = codes_of(texts)
