@@ -6,8 +6,9 @@ columns; the last stage encodes what is left."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foliospark.llm import decontam, quality, sentencepiece_dropout, simhash, substring
+from foliospark.llm import decontam, near_copies, quality, sentencepiece_dropout, substring
 from foliospark.llm.common import checkpoint_dir, held_out, read
 
 
@@ -18,8 +19,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component; of rows that repeat it, one."""
-    first = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """Of each component of near-copies (five-word shingles, Jaccard 0.8 or more) the document with the smallest doc_id; of rows that repeat it, one."""
+    first = near_copies.near_copies(docs).groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi")
     return kept.dropDuplicates(["doc_id"]).select(docs.columns)
 
