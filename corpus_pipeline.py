@@ -19,10 +19,17 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-copies (five-word shingles, Jaccard 0.8 or more) the document with the smallest doc_id; of rows that repeat it, one."""
-    first = near_copies.near_copies(docs).groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(docs.columns)
+    """Of each component of near-copies (five-word shingles, Jaccard 0.8 or more) the row with the smallest doc_id, a null one last, then the smallest
+    text hash; of rows that repeat id and text, one. Of different texts of one id,
+    the one with the smallest hash."""
+    t = F.xxhash64(F.col("text").cast("string"))
+    # structs compare field by field: any id goes before a null one
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
+    first = near_copies.near_copies(docs).groupBy("component").agg(F.min(row).alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.t").alias("__t"))
+    # later stages know a document by its id, so of several texts of one id only one can go on
+    first = first.where("__id is not null").groupBy("__id").agg(F.min("__t").alias("__t")).union(first.where("__id is null"))
+    kept = docs.join(first, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (t == F.col("__t")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"]).select(docs.columns)
 
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
