@@ -10,19 +10,29 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that one numpy pass handles; a single longer text is one piece.
-PIECE_CHARS = 1_000_000
+PIECE_CHARS = 300_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def pieces(texts: list[str | None], limit: int = PIECE_CHARS) -> Iterator[tuple[int, int, list[str]]]:
-    """(from, to, texts) of consecutive runs of about ``limit`` characters; nulls become ''."""
+def pieces(texts: pa.Array | list[str | None], limit: int = PIECE_CHARS) -> Iterator[tuple[int, int, list[str]]]:
+    """(from, to, texts) of consecutive runs of about ``limit`` characters; nulls become ''. Of an Arrow column one run at a time becomes Python strings."""
+    if isinstance(texts, pa.Array):
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < len(texts):
+            had = int(ends[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, had + limit, side="right")))
+            yield lo, hi, [t or "" for t in texts.slice(lo, hi - lo).to_pylist()]
+            lo = hi
+        return
     lo, held, out = 0, 0, []
     for i, t in enumerate(texts):
         t = t or ""

@@ -250,7 +250,7 @@ def _pass(rows: DataFrame, given: list[tuple[int, str]], least: float) -> DataFr
     def run(batches):
         items = Items(given)
         for b in batches:
-            for lo, _, part in pieces(b.column(1).to_pylist()):
+            for lo, _, part in pieces(b.column(1)):
                 got = scan_texts(items, part, least)
                 if got:
                     c = list(zip(*got, strict=True))
@@ -271,7 +271,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.8, tex
             own = Items(given)
             for b in batches:
                 clean = np.ones(b.num_rows, bool)
-                for lo, _, part in pieces(b.column(at).to_pylist()):
+                for lo, _, part in pieces(b.column(at)):
                     for row in scan_texts(own, part, least):
                         clean[lo + row[0]] = False
                 yield b.filter(pa.array(clean))

@@ -207,7 +207,7 @@ def identify(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
     """doc_id, held_out (the contract's fold), lang_pred, score (share of letters so labelled), n_spans, and the spans as (start, end, lang) in characters."""
 
     def run(b):
-        for lo, hi, part in pieces(b.column(1).to_pylist()):
+        for lo, hi, part in pieces(b.column(1)):
             lang, score, (text, start, end, state) = label_texts(model, part)
             n = np.bincount(text, minlength=len(part))
             cols = {"doc_id": b.column(0).slice(lo, hi - lo), "held_out": b.column(2).slice(lo, hi - lo), "lang_pred": pa.array(["und" if k < 0 else model.langs[k] for k in lang], pa.string()), "score": pa.array(score), "n_spans": pa.array(n, pa.int32())}

@@ -165,7 +165,7 @@ def scan(df: DataFrame, *, templates: dict[str, str] | None = None, least: float
     def run(batches):
         index = Index(given)
         for b in batches:
-            for lo, _, part in pieces(b.column(1).to_pylist()):
+            for lo, _, part in pieces(b.column(1)):
                 codes, at = codes_of(part)
                 low, start, end = fold(codes)
                 words = span_hashes(low, start, end)

@@ -92,7 +92,7 @@ def _marked(df: DataFrame) -> DataFrame:
     """doc_id, t (hash of the text), same (hash of the shingle set), bands and sig of every row."""
 
     def run(b):
-        for lo, hi, part in pieces(b.column(2).to_pylist()):
+        for lo, hi, part in pieces(b.column(2)):
             x, edge = shingle_sets(part)
             same, some = set_hashes(x, edge), np.diff(edge) > 0
             bands, sig = [None] * len(part), [None] * len(part)
@@ -110,7 +110,7 @@ def _agree(pairs: DataFrame, rows: DataFrame, classes: DataFrame, least: float)
     asked = pairs.select(F.explode(F.array("a", "b")).alias("same")).distinct().join(classes.select("same", "t"), "same")
 
     def sets(b):
-        for lo, hi, part in pieces(b.column(1).to_pylist()):
+        for lo, hi, part in pieces(b.column(1)):
             x, edge = shingle_sets(part)
             yield batch(same=b.column(0).slice(lo, hi - lo), s=pa.array([x[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)], pa.binary()))
 

@@ -63,7 +63,7 @@ def fingerprints(df: DataFrame, *, width: int = 3, seed: int = 42, id_col: str =
     """doc_id and fp (the 64 bits as a long) of every text; null or no word: 0."""
 
     def run(b):
-        for lo, hi, part in pieces(b.column(1).to_pylist()):
+        for lo, hi, part in pieces(b.column(1)):
             yield batch(doc_id=b.column(0).slice(lo, hi - lo), fp=pa.array(simhash_texts(part, width, seed).view(np.int64)))
 
     return map_arrow(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, fp long")
