@@ -1,23 +1,32 @@
 """Operator 2: main text of web pages by a site style tree.
 
-Pass 1 parses every page into blocks, each with its presentation path (tags with classes from the
-root) and the hash of its text, and counts in how many pages of a host each (path, content) stands.
-Over m pages of a host, a content that stands in n of them spreads evenly, so its entropy to the base m
-is log n / log m and its importance 1 - log n / log m: page-specific text has 1, site furniture 0.
-Pass 2 parses again and drops branches of low importance together with elements whose tag or class
-says menu, header, footer, sidebar, notice, advert, form or comments; what is left of the article
+Pass 1 parses every page into its tree of block elements. The trees of one host merge into a site style tree:
+an element node is a presentation path (tags with classes from the root), its style nodes are the sequences of
+children (repeats as one) that pages give it, and its leaves are the texts that stand there. What is kept of the merged tree
+are counts: in how many pages a node has each sequence, and each text. Pages of a host with
+the same longest text are copies and count once, so an article that stands at many addresses is no furniture.
+
+Importance, from entropies to the base of the number of pages m:
+* presentation: an element whose pages all lay it out alike has 0, one that each page lays out its own way has 1;
+* content: a text on n of m pages spreads evenly, so it has 1 - log n / log m: page-specific text has 1, furniture 0;
+* both shrink towards 1 by (m - 1) / m, so a few pages prove little and one page proves nothing;
+* composite: (1 - g**l) x presentation + g**l x mean composite of the children, with l style nodes and
+  g = ``GAMMA``, worked out from the leaves to the root of each page's own tree.
+Pass 2 takes each page's tree and removes every branch of composite importance ``least`` or less (never the body, main or an article as a
+whole, only what stands in it), together with elements whose tag or classes say menu, header, footer, sidebar, notice, advert,
+form or comments, whose texts can differ on every page. What is left of the article
 (or <main>, or else the body) is the main text.
 
-Scale: blocks are counted by (host, path, content) with map-side combining, so a hot host is
-spread over its contents. Contents of low importance are few by construction: each stands in
-m**(1 - least) pages at least, so a host has at most blocks_per_page * m**least of them. Their list
+Only what stands on as many pages as a text of low importance is judged at all, about m**(1 - least) of m; the rest has importance 1.
+
+Scale: pages become rows of 64-bit hashes; copies, nodes and texts are counted with map-side combining, so a hot host is
+spread over its contents. A host has at most nodes_per_page * m**least nodes that are judged. Their list
 joins the pages by host. Hosts that hold a share of 1 / ``HOT`` of all pages or more (so ``HOT`` hosts at
 most, the only thing broadcast) are dealt over as many parts as they hold such shares, each with a copy of the list.
 
-Defined cases: null or empty html gives '' and 0; null urls share one host ''; hosts under ``min_pages``
-pages lose nothing by importance; headings and paragraphs inside an article are never dropped by it;
-broken markup, unclosed elements and bare '<' are text or closed by their parents; repeated rows are
-pages of their own; an empty table gives an empty result.
+Defined cases: null or empty html gives '' and 0; null urls share one host ''; equal importances are equal decisions;
+broken markup, unclosed elements, unclosed quotes and bare '<' are text or closed by their parents; repeated rows are
+pages of their own; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,13 +43,14 @@ from .common import batch, cut, map_arrow
 
 HOT = 10_000
 #: Pages that one task takes of a host in any case.
-HOST_PAGES = 1_000
+HOST_PAGES = 250
+GAMMA = 0.9
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|template|noscript|textarea|title|iframe|svg|math|xmp|noembed|noframes)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+    r"|<(script|style|template|noscript|textarea|title|iframe|noembed|noframes)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)",
     re.S | re.I,
 )
 ATTR = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
@@ -52,13 +62,25 @@ DROP_WORD = frozenset(
     "sidebar aside rail widget nav navbar navigation menu breadcrumb breadcrumbs pagination pager toolbar topbar header masthead footer colophon copyright legal "
     "comment comments reply replies disqus respond share sharing social related recommended recommendations newsletter subscribe subscription signup login search skip".split()
 )
-KEEP_WORD = frozenset("article main content post entry story body text".split())
+#: Words that stand beside such a word and say nothing of their own: "site-footer", "comment-list".
+PLAIN_WORD = frozenset("site page main top bottom left right inner outer box bar list item items container wrapper wrap section area block slot unit links link primary secondary global content the js new".split())
+#: Never dropped by a class.
+ROOTS = frozenset("html body main article".split())
 CLOSES_P = BLOCK - {"br", "option", "body", "html", "head"}
 #: An element of the key's kind ends an open one of the value's, within the nearest list, table or select.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 SCOPE = frozenset("ul ol dl table select article section div body html main td th".split())
 
 
+def says_drop(names: str) -> bool:
+    """Whether one of the names (classes or an id) is made of words that say furniture, with plain ones at most beside."""
+    for name in names.split():
+        words = [w for w in (x.rstrip("0123456789") for x in re.split(r"[^a-z0-9]+", name)) if w]
+        if any(w in DROP_WORD for w in words) and all(w in DROP_WORD or w in PLAIN_WORD for w in words):
+            return True
+    return False
+
+
 def _style(attrs: str) -> tuple[str, bool, bool]:
     """Classes and id as they show in the path, whether a word says to drop, whether it is the article."""
     style, drop, main = [], False, False
@@ -66,57 +88,69 @@ def _style(attrs: str) -> tuple[str, bool, bool]:
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").strip().lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
             drop = True
-            continue
-        if name in ("class", "id"):
+        elif name in ("class", "id"):
             style.append(f"{name[0]}={value}")
-        words = [w for w in re.split(r"[^a-z0-9]+", value) if w]
-        if name == "role":
+            drop |= says_drop(value)
+        elif name == "role":
             drop |= value in ("navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu")
             main |= value in ("main", "article")
         elif name == "itemprop":
             main |= value == "articlebody"
-        elif name in ("class", "id"):
-            drop |= any(w.rstrip("0123456789") in DROP_WORD for w in words) and not (set(words) <= KEEP_WORD)
     return ";".join(style), drop, main
 
 
-def parse(page: str) -> tuple[list[tuple[str, int, bool, int, str]], bool]:
-    """(text, path hash, dropped, region: 2 in an article, 1 in main, else 0; tag) of each block with text, in page order."""
-    stack: list[tuple[str, int, bool, int]] = [("", 0, False, 0)]
-    out: list[tuple[str, int, bool, int, str]] = []
+class Node:
+    """A block element: its path's hash, its children (Nodes and texts) in order, whether a rule drops it, its region (2: article, 1: main)."""
+
+    __slots__ = ("tag", "path", "sign", "kids", "dropped", "region")
+
+    def __init__(self, tag: str, path: int, sign: int, dropped: bool, region: int):
+        self.tag, self.path, self.sign, self.kids, self.dropped, self.region = tag, path, sign, [], dropped, region
+
+
+def parse(page: str) -> Node:
+    """The page's tree of block elements."""
+    root = Node("", 0, 0, False, 0)
+    # open elements: tag, the block element that holds their text, whether their text is dropped within it
+    stack: list[tuple[str, Node, bool]] = [("", root, False)]
     parts: list[str] = []
-    hashes: dict[tuple, int] = {}
+    hashes: dict[tuple, tuple[int, int]] = {}
 
     def flush() -> None:
         if parts:
             text = " ".join(_html.unescape("".join(parts)).split())
             if text:
-                _, path, dropped, region = top = stack[-1]
-                out.append((text, path, dropped, region, top[0]))
+                stack[-1][1].kids.append(text)
             parts.clear()
 
     def push(tag: str, attrs: str) -> None:
-        _, path, dropped, region = stack[-1]
+        _, above, silent = stack[-1]
         style, drop, main = _style(attrs) if attrs.strip(" /") else ("", False, False)
-        key = (path, tag, style)
+        drop = tag in DROP_TAG or drop and tag not in ROOTS
+        region = 2 if tag == "article" or main and tag != "main" else 1 if tag == "main" or main else 0
+        if tag not in BLOCK and not region:
+            stack.append((tag, above, silent or drop))
+            return
+        key = (above.path, tag, style)
         if (h := hashes.get(key)) is None:
-            h = hashes[key] = xxhash.xxh64_intdigest(f"{path}/{tag}.{style}")
-        is_root = tag in ("body", "html", "main", "article")
-        if tag == "article" or main and tag != "main":
-            region = max(region, 2)
-        elif tag == "main" or main:
-            region = max(region, 1)
-        stack.append((tag, h, dropped or tag in DROP_TAG or drop and not (is_root and tag in ("body", "html", "main")), region))
+            h = hashes[key] = xxhash.xxh64_intdigest(f"{above.path}/{tag}.{style}"), xxhash.xxh64_intdigest(f"{tag}.{style}")
+        node = Node(tag, *h, above.dropped or silent or drop, max(above.region, region))
+        above.kids.append(node)
+        stack.append((tag, node, False))
 
     def pop_to(k: int) -> None:
         if any(e[0] in BLOCK for e in stack[k:]):
             flush()
         del stack[k:]
 
+    def say(text: str) -> None:
+        if not stack[-1][2]:
+            parts.append(text)
+
     at = 0
     for m in TOKEN.finditer(page):
         if m.start() > at:
-            parts.append(page[at : m.start()])
+            say(page[at : m.start()])
         at = m.end()
         if m[3] is None:
             continue
@@ -149,75 +183,144 @@ def parse(page: str) -> tuple[list[tuple[str, int, bool, int, str]], bool]:
                     break
         push(tag, m[4] or "")
     if at < len(page):
-        parts.append(page[at:])
+        say(page[at:])
     flush()
-    return out, any(b[3] == 2 and not b[2] for b in out)
+    return root
 
 
-def host_of(url: str | None) -> str:
-    m = re.match(r"\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]+)", url or "")
-    return m[1].lower() if m else ""
+def nodes(root: Node) -> list[Node]:
+    """All elements, parents before their children."""
+    out, left = [], [root]
+    while left:
+        n = left.pop()
+        out.append(n)
+        left += [k for k in reversed(n.kids) if isinstance(k, Node)]
+    return out
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def node_key(path: int, text: str) -> int:
+def text_key(path: int, text: str) -> int:
     return _signed(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), path & 0xFFFFFFFFFFFFFFFF))
 
 
-def node_counts(pages: DataFrame, *, min_pages: int, url_col: str, html_col: str) -> DataFrame:
-    """host, key, n: in how many pages of a host each (path, content) stands, from ``min_pages`` on; key 0 stands for the pages themselves."""
+def style_key(n: Node) -> int:
+    """Hash of an element's sequence of children, repeats as one."""
+    signs, last = [], None
+    for k in n.kids:
+        sign = k.sign if isinstance(k, Node) else 1
+        if sign != last:
+            signs.append(sign)
+        last = sign
+    return _signed(xxhash.xxh64_intdigest(repr(signs), n.path))
+
+
+def tree_rows(root: Node) -> tuple[int, set[tuple[int, int, bool]]]:
+    """What makes a page a copy (hash of its longest text), and its (node, style or text, whether text) in the merged tree."""
+    longest, rows = "", set()
+    for n in nodes(root):
+        if n.kids:
+            rows.add((_signed(n.path), style_key(n), False))
+        for k in n.kids:
+            if isinstance(k, str):
+                rows.add((_signed(n.path), text_key(n.path, k), True))
+                if len(k) > len(longest):
+                    longest = k
+    return text_key(0, longest), rows
+
+
+def host(url_col: str):
+    return F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/:?#]+)", 1))
+
+
+def page_trees(pages: DataFrame, *, url_col: str, html_col: str) -> DataFrame:
+    """host, n (pages) and tree (node, value, is_text) of each class of copies on a host."""
 
     def run(b):
-        host, key = [], []
-        for url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            h = host_of(url)
-            own = {node_key(path, text) for text, path, _, _, _ in parse(page or "")[0]}
-            own.add(0)  # the page itself
-            host += [h] * len(own)
-            key += own
-        yield batch(host=pa.array(host, pa.string()), key=pa.array(key, pa.int64()))
+        trees = [tree_rows(parse(page or "")) for page in b.column(1).to_pylist()]
+        tree = [[{"node": n, "value": v, "is_text": t} for n, v, t in sorted(rows)] for _, rows in trees]
+        yield batch(host=b.column(0), copy=pa.array([c for c, _ in trees], pa.int64()), tree=pa.array(tree, pa.list_(pa.struct([("node", pa.int64()), ("value", pa.int64()), ("is_text", pa.bool_())]))))
 
-    return map_arrow(pages.select(F.col(url_col).cast("string"), F.col(html_col).cast("string")), run, "host string, key long").groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    rows = map_arrow(pages.select(host(url_col).alias("host"), F.col(html_col).cast("string")), run, "host string, copy long, tree array<struct<node:bigint,value:bigint,is_text:boolean>>")
+    return rows.groupBy("host", "copy").agg(F.count("*").alias("n"), F.min("tree").alias("tree")).select("host", "n", "tree")
 
 
-def hot_hosts(counts: DataFrame) -> DataFrame:
+def hot_hosts(trees: DataFrame) -> DataFrame:
     """host and parts (2 or more) of the at most ``HOT`` hosts that one task should not hold."""
-    sizes = counts.where("key = 0")
+    sizes = trees.groupBy("host").agg(F.sum("n").alias("n"))
     share = max(HOST_PAGES, -(-(sizes.agg(F.sum("n")).first()[0] or 0) // HOT))
     return sizes.where(F.col("n") > share).select("host", F.ceil(F.col("n") / share).cast("long").alias("parts"))
 
 
-def low_importance(counts: DataFrame, hot: DataFrame, *, least: float) -> DataFrame:
-    """host, part and keys: the (path, content) nodes of low importance of each host that has any."""
-    sizes = counts.where("key = 0").select("host", F.col("n").alias("m"))
-    low = counts.where("key <> 0").join(sizes, "host").where(1 - F.log(F.col("n").cast("double")) / F.log(F.col("m").cast("double")) <= least)
-    listed = low.groupBy("host").agg(F.collect_list("key").alias("keys")).join(F.broadcast(hot), "host", "left")
-    return listed.select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), "keys")
-
-
-def main_text(page: str, low: frozenset[int] | set[int] = frozenset()) -> str:
-    blocks, article = parse(page)
-    level = 2 if article else 1 if any(b[3] >= 1 and not b[2] for b in blocks) else 0
-    # within an article, its own headings and paragraphs stay: pages that are copies must not lose their text
-    kept = [t for t, path, dropped, region, tag in blocks if not dropped and region >= level and (level == 2 and tag in ("p", "article", "h1", "h2", "h3", "h4", "h5", "h6", "b") or not low or node_key(path, t) not in low)]
-    return " ".join(kept)
+def _trusted(m) -> F.Column:
+    return (m - 1) / m
+
+
+def style_tree(trees: DataFrame, *, least: float) -> DataFrame:
+    """host, key, own, rest of what pass 2 needs of the merged tree: an element's composite importance is own + rest x its children's mean; a text's is own."""
+    sizes = trees.groupBy("host").agg(F.count("*").cast("double").alias("m"))
+    counts = cut(trees.select("host", F.explode("tree").alias("x")).select("host", "x.*").groupBy("host", "node", "value", "is_text").agg(F.count("*").cast("double").alias("n")))
+    # the fewest pages on which a text can be of low importance: (1 - log n / log m) shrunk is least or less
+    few = F.pow(F.col("m"), 1 - (F.lit(least) - 1 / F.col("m")) * F.col("m") / (F.col("m") - 1)) * 0.999
+    of_host = lambda df: df.join(sizes.where("m > 1"), "host").where(F.col("n") >= few)
+    content = 1 - F.log("n") / F.log("m") * _trusted(F.col("m"))
+    texts = of_host(counts.where("is_text and n > 1")).select("host", F.col("value").alias("key"), content.alias("own"), F.lit(0.0).alias("rest")).where(F.col("own") <= least)
+    styles = counts.where("not is_text").groupBy("host", "node").agg(F.sum("n").alias("n"), F.count("*").alias("l"), F.sum(F.col("n") * F.log("n")).alias("s"))
+    entropy = F.when(F.col("n") > 1, (F.log("n") - F.col("s") / F.col("n")) / F.log("n")).otherwise(1.0)
+    shown = 1 - (1 - entropy) * _trusted(F.col("n"))
+    g = F.pow(F.lit(GAMMA), F.col("l"))
+    return texts.union(of_host(styles).select("host", F.col("node").alias("key"), ((1 - g) * shown).alias("own"), g.alias("rest")))
+
+
+def importances(root: Node, known: dict[int, tuple[float, float]]) -> dict[int, float]:
+    """Composite importance of each element (by id()), from the leaves up; what is not known has 1."""
+    out: dict[int, float] = {}
+    for n in reversed(nodes(root)):
+        own, rest = known.get(_signed(n.path), (1.0, 0.0))
+        if n.kids and rest:
+            own += rest * sum(out[id(k)] if isinstance(k, Node) else known.get(text_key(n.path, k), (1.0, 0.0))[0] for k in n.kids) / len(n.kids)
+        out[id(n)] = own if n.kids else 1.0
+    return out
+
+
+def main_text(page: str, known: dict[int, tuple[float, float]] | None = None, least: float = 0.15) -> str:
+    root = parse(page)
+    found = importances(root, known) if known else {}
+    kept: list[list[str]] = [[], [], []]  # by region
+    left: list[tuple[Node, object]] = [(root, None)]
+    while left:
+        n, k = left.pop()
+        if isinstance(k, str):
+            if not known or known.get(text_key(n.path, k), (1.0, 0.0))[0] > least:
+                kept[n.region].append(k)
+            continue
+        if n.dropped or known and n.tag and n.tag not in ROOTS and found[id(n)] <= least:
+            continue
+        left += [(k, None) if isinstance(k, Node) else (n, k) for k in reversed(n.kids)]
+    return " ".join(kept[2] or kept[1] or kept[0])
 
 
-def extract(pages: DataFrame, *, least: float = 0.2, min_pages: int = 5, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, *, least: float = 0.15, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    counts = cut(node_counts(pages, min_pages=min_pages, url_col=url_col, html_col=html_col))
-    hot = hot_hosts(counts)
-    low = low_importance(counts, hot, least=least)
-    host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/:?#]+)", 1))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
+    trees = cut(page_trees(pages, url_col=url_col, html_col=html_col))
+    hot = hot_hosts(trees)
+    known = style_tree(trees, least=least).join(F.broadcast(hot), "host", "left")
+    known = known.select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), "key", "own", "rest")
+    known = known.groupBy("host", "part").agg(F.collect_list(F.struct("key", "own", "rest")).alias("known"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host(url_col).alias("host"))
     dealt = rows.join(F.broadcast(hot), "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.coalesce("parts", F.lit(1))))
-    rows = dealt.join(low, ["host", "part"], "left").select("page_id", "url", "html", "keys")
+    rows = dealt.join(known, ["host", "part"], "left").select("page_id", "url", "html", "known")
 
     def run(b):
-        texts = [main_text(h or "", frozenset(k) if k else frozenset()) for h, k in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+        texts, last, own = [], None, {}
+        for k, page in enumerate(b.column(2).to_pylist()):
+            got = b.column(3)[k]
+            # pages of one host follow each other with the same list
+            if last is None or not got.equals(last):
+                last, own = got, {x["key"]: (x["own"], x["rest"]) for x in got.as_py() or ()}
+            texts.append(main_text(page or "", own, least))
         yield batch(page_id=b.column(0), url=b.column(1), text=pa.array(texts, pa.string()), n_chars=pa.array([len(t) for t in texts], pa.int64()))
 
     return map_arrow(rows, run, "page_id long, url string, text string, n_chars long")
