@@ -46,13 +46,16 @@ def simhash_texts(texts: list[str], width: int, seed: int) -> np.ndarray:
             own = [h(buf[a:b], seed) for a, b in zip([0, *(x + 1 for x in end[: len(w) - width])], end[width - 1 :], strict=True)]
         n.append(len(own))
         hashes += own
-    n = np.array(n, np.int64)
-    out = np.zeros(len(texts), np.uint64)
+    return majority(np.array(hashes, np.uint64), np.array(n, np.int64))
+
+
+def majority(raw: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For runs of n[i] hashes, the bits set in over half of each run; 0 for an empty one."""
+    out = np.zeros(len(n), np.uint64)
     some = np.flatnonzero(n)
     if not len(some):
         return out
     at = np.cumsum(n) - n
-    raw = np.array(hashes, np.uint64)
     for p in range(64):
         ones = np.add.reduceat((raw >> np.uint64(p)) & np.uint64(1), at[some])
         out[some] |= (2 * ones.astype(np.int64) > n[some]).astype(np.uint64) << np.uint64(p)
