@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, held_out, map_arrow
+from .common import batch, held_out, map_arrow, pieces
 
 BLOCK_BYTES = 1024
 FEATURES = 4
@@ -137,11 +137,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 2000, slice_char
     return model
 
 
+def _features(model: Model, texts: pa.Array) -> np.ndarray:
+    return np.array([model.features(t) for _, _, part in pieces(texts) for t in part], np.float64)
+
+
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out (the contract's fold), score in [0, 1], predicted, difference (d) of every text."""
 
     def run(b):
-        f = np.array([model.features(t or "") for t in b.column(1).to_pylist()], np.float64)
+        f = _features(model, b.column(1))
         s = model.score(f)
         yield batch(doc_id=b.column(0), held_out=b.column(2), score=pa.array(s), predicted=pa.array((s >= 0.5).astype(np.int32)), difference=pa.array(f[:, 0]))
 
@@ -156,7 +160,6 @@ def keep_good(docs: DataFrame, model: Model, *, below: float = 0.5, text_col: st
     def run(batches):
         for b in batches:
             if b.num_rows:
-                f = np.array([model.features(t or "") for t in b.column(text_at).to_pylist()], np.float64)
-                yield b.filter(pa.array(model.score(f) >= below))
+                yield b.filter(pa.array(model.score(_features(model, b.column(text_at))) >= below))
 
     return docs.mapInArrow(run, docs.schema)

@@ -11,7 +11,7 @@ from .common import held_out, read
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_dropout.encode(read(spark, sf_dir, "documents"), keep_ids=False)
+    return sentencepiece_dropout.encode(read(spark, sf_dir, "documents"))
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import bpe
 from .common import batch, map_arrow, mix64, pieces
 
-PIECE_CHARS = 3_000_000
+PIECE_CHARS = 500_000
 
 
 def encode_texts(p: bpe.Pieces, texts: list[str], keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
@@ -71,8 +71,8 @@ def encode(df: DataFrame, *, model: str | None = None, dropout: float = 0.1, see
 
     def run(b):
         p = bpe.load(path)
-        texts, keys = b.column(1).to_pylist(), text_keys(seed, b.column(0))
-        for lo, hi, part in pieces(texts, PIECE_CHARS):
+        keys = text_keys(seed, b.column(0))
+        for lo, hi, part in pieces(b.column(1), PIECE_CHARS):
             ids, at = encode_texts(p, part, keys[lo:hi], dropout)
             back = decode_ids(p, ids, at)
             cols = {

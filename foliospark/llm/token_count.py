@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import bpe
 from .common import batch, map_arrow, pieces, span_hashes
 
-PIECE_CHARS = 1_500_000
+PIECE_CHARS = 500_000
 
 
 @functools.lru_cache(maxsize=4)
@@ -102,7 +102,7 @@ def token_counts(df: DataFrame, *, model: str | None = None, limit: int = 4096,
 
     def run(b):
         p, known = bpe.load(path), proven(path)
-        for lo, hi, part in pieces(b.column(1).to_pylist(), PIECE_CHARS):
+        for lo, hi, part in pieces(b.column(1), PIECE_CHARS):
             n = count_texts(p, known, part)
             yield batch(doc_id=b.column(0).slice(lo, hi - lo), n_bytes=pa.array([len(t.encode("utf-8", "surrogatepass")) for t in part], pa.int64()), n_tokens=pa.array(n, pa.int64()), over_limit=pa.array(n > limit))
 
