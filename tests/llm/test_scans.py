@@ -46,8 +46,7 @@ def test_distance_against_plain_recurrence():
     for _ in range(200):
         p = "".join(r.choice("abc") for _ in range(r.randrange(1, 9)))
         t = "".join(r.choice("abc") for _ in range(r.randrange(0, 14)))
-        got = decontam.best_fit(p, t, len(p))
-        assert got[0] == fit_distance(p, t)
+        assert min([len(p), *decontam.distances(p, t)]) == fit_distance(p, t)
 
 
 def test_leaks_exact_and_edited(spark):
@@ -89,3 +88,51 @@ def test_awkward_rows(spark):
     assert decontam.drop_leaks(df, bench.limit(0)).count() == len(rows)
     assert license_scan.scan(df).count() == 0
     assert license_scan.scan(empty(spark)).count() == 0
+
+
+def spoiled(text, r, how):
+    """Letters changed: a share of all characters replaced, put in or left out, or one letter in each word of four or more."""
+    if how == "typo":
+        return " ".join(w[:k] + r.choice("abcdefghij") + w[k + 1 :] if len(w) > 3 and (k := r.randrange(len(w))) >= 0 else w for w in text.split())
+    out = []
+    for c in text:
+        x = r.random()
+        out.append(c if x >= how else r.choice("etaoin") if x < how / 2 else c + r.choice("etaoin") if x < 0.75 * how else "")
+    return "".join(out)
+
+
+def natural(seed, n):
+    """Prose with words of one to nine letters."""
+    r = random.Random(seed)
+    words = random.Random(0)
+    known = ["".join(words.choice("aeioubcdfglmnprst") for _ in range(words.choice([1, 2, 2, 3, 3, 4, 5, 6, 7, 8, 9]))) for _ in range(900)]
+    return " ".join(r.choice(known) for _ in range(n))
+
+
+def test_recall_against_brute_force():
+    r = random.Random(8)
+    bench = [(k, natural(2000 + k, 35 + k % 20)) for k in range(60)]
+    items = decontam.Items(bench)
+    for how in (0.05, 0.1, 0.15, 0.18, "typo"):
+        texts = [f"{natural(3000 + k, 50)} {spoiled(t, r, how)} {natural(4000 + k, 50)}" for k, t in bench]
+        due = {k for k, t in bench if decontam.matches(t, texts[k], int(0.2 * len(t) + 1e-9))}
+        got = {(d, i): dist for d, i, dist, *_ in sorted(decontam.scan_texts(items, texts, 0.8), key=lambda x: -x[2])}
+        assert len(due) > 30 and sum((k, k) in got for k in due) >= 0.95 * len(due), how
+        # what is reported is the least distance of any stretch
+        assert all(got[k, k] == fit_distance(t, " ".join(texts[k].split())) for k, t in bench[:6] if (k, k) in got)
+        assert all(d == i for d, i in got)
+
+
+def test_short_items_and_other_scripts():
+    rows = [(1, "kilo"), (2, "ab"), (3, "two words"), (4, "学习语言模型需要大量干净的训练数据而且评测集不能混入其中否则结果不可信"), (5, "x y z")]
+    items = decontam.Items(rows)
+    cjk = rows[3][1]
+    texts = ["a kilo of", "kilometre", "ab", "cab", "some two words here", "前文" + cjk[:10] + "的" + cjk[11:] + "后文", "x y z", "nothing"]
+    assert {(d, i) for d, i, *_ in decontam.scan_texts(items, texts, 0.8)} >= {(0, 1), (2, 2), (4, 3), (5, 4), (6, 5)}
+    assert not {d for d, *_ in decontam.scan_texts(items, texts, 0.8)} & {1, 3, 7}
+
+
+def test_many_copies_in_one_text():
+    t = natural(1, 20)
+    got = decontam.scan_texts(decontam.Items([(7, t)]), [" ".join([t] * 50)], 0.8)
+    assert len(got) == 50 and all(x[2] == 0 for x in got)
