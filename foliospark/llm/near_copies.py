@@ -10,7 +10,7 @@ bit-sliced as in operator 5 within a wide radius, and exact sets decide:
    edited copies, the original); what agrees is a component.
 3. Where components of a bucket still differ, its classes are compared by their SimHash fingerprints, bit-sliced, and exactly where at most ``RADIUS``
    bits differ (a pair at 0.8 differs by 9.7 of 64 on average, with a deviation of 2.9) and the sizes allow it; sets under ``FEW`` shingles,
-   whose bits are coarse, in any case. Buckets above ``SHINGLES`` are dealt into sub-blocks; each pair of these is a
+   whose bits are coarse, in any case. Buckets above ``MEMBERS`` (or ``SHINGLES`` in all) are dealt into sub-blocks; each pair of these is a
    unit of work that holds its own sets and reports a spanning forest of its links, never the pairs.
 4. Links are joined by ``graph.components``.
 
@@ -31,8 +31,8 @@ from .license_scan import shingles
 from .simhash import majority, near_pairs
 
 WIDTH, BANDS, ROWS, RADIUS, FEW = 5, 16, 5, 20, 24
-#: Shingles of one sub-block, about; columns of one product of incidences.
-SHINGLES, COLUMNS = 200_000, 4096
+#: Members and shingles of one sub-block, about; columns of one product of incidences.
+MEMBERS, SHINGLES, COLUMNS = 384, 1_000_000, 2048
 #: Rows that are broadcast at most (24 bytes each); beyond it the texts are shuffled.
 BROADCAST = 500_000
 _RNG = np.random.default_rng(5)
@@ -151,7 +151,7 @@ def unit_links(k: int, side: np.ndarray | None, same: np.ndarray, comp: np.ndarr
     if (comp == comp[0]).all():
         return []
     m = len(same)
-    n = np.array([len(x) for x in sets], np.int64)
+    n = np.array([len(x) for x in sets], np.int32)
     blocks = -(-m // 64)
     lanes = np.zeros(blocks * 64, np.uint64)
     lanes[:m] = fp
@@ -209,7 +209,7 @@ def _others(met: DataFrame, label: DataFrame, classes: DataFrame, found: DataFra
     placed = classes.select("same", F.col("n").alias("size")).join(label, "same", "left").select("same", F.coalesce("component", "same").alias("comp"), "size")
     both = met.select("k", "v", "same").join(placed, "same")
     # buckets of one component need no further look
-    open_ = both.groupBy("k", "v").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(F.sum("size") / SHINGLES).cast("long").alias("subs")).where("x != y").select("k", "v", "subs")
+    open_ = both.groupBy("k", "v").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(F.greatest(F.sum("size") / SHINGLES, F.count("*") / MEMBERS)).cast("long").alias("subs")).where("x != y").select("k", "v", "subs")
     both = both.join(open_, ["k", "v"]).withColumn("sub", F.pmod(F.xxhash64("same"), F.col("subs")))
     both = both.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)))
     units = both.select("k", "v", F.least("sub", "other").alias("lo"), F.greatest("sub", "other").alias("hi"), (F.col("sub") > F.col("other")).cast("int").alias("side"), "same", "comp")

@@ -38,7 +38,7 @@ def brute(texts, least=0.8):
 
 
 def test_edited_copies_go(spark, monkeypatch):
-    monkeypatch.setattr(near_copies, "SHINGLES", 500)  # hot buckets, in pairs of sub-blocks
+    monkeypatch.setattr(near_copies, "MEMBERS", 4)  # hot buckets, in pairs of sub-blocks
     monkeypatch.setattr(near_copies, "COLUMNS", 64)
     texts = [prose(k, 130) for k in range(25)]
     texts += [edited(texts[k], 100 + k, 2) for k in range(25)]
