@@ -79,22 +79,27 @@ def weighted_split(weights: DataFrame, available: float) -> DataFrame:
 
 
 def wrap_text(text: Column, max_chars: int) -> Column:
-    """Greedy lines of words by single spaces; a longer word stands alone; line breaks stay."""
+    """Greedy lines of words by single spaces; a longer word stands alone; line breaks stay.
 
-    def fold(line: Column) -> Column:
-        start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("cur"))
+    The longest run of whole words that fits is what a greedy expression takes, so each line is one linear match; U+FFFF, which is no character, marks the end."""
+    pattern = f"([^\uffff]{{0,{max_chars}}}|[^ \uffff]+)[ \uffff]"
+    return F.flatten(F.transform(F.split(text, "\n"), lambda line: F.regexp_extract_all(F.concat(line, F.lit("\uffff")), F.lit(pattern), F.lit(1))))
 
-        def add(acc: Column, word: Column) -> Column:
-            longer = F.concat(acc["cur"], F.lit(" "), word)
-            return (
-                F.when(acc["cur"].isNull(), F.struct(acc["done"].alias("done"), word.alias("cur")))
-                .when(F.length(longer) <= max_chars, F.struct(acc["done"].alias("done"), longer.alias("cur")))
-                .otherwise(F.struct(F.concat(acc["done"], F.array(acc["cur"])).alias("done"), word.alias("cur")))
-            )
 
-        return F.aggregate(F.split(line, " "), start, add, lambda acc: F.concat(acc["done"], F.array(acc["cur"])))
+def row_heights(cells: DataFrame, line_height: float = 12.0, padding: float = 8.0) -> DataFrame:
+    """Per (doc_id, row) of cells (doc_id, row, n_lines): the tallest cell and the padding; every other row is shaded."""
+    out = cells.groupBy("doc_id", "row").agg((F.max("n_lines") * line_height + padding).alias("height"))
+    return out.withColumn("zebra", F.col("row") % 2 == 0)
 
-    return F.flatten(F.transform(F.split(text, "\n"), fold))
+
+def line_geometry(values: DataFrame, width: float, height: float) -> DataFrame:
+    """values (doc_id, i from 0, value): x and y of each point; the scale runs from 0 or the least value to the greatest."""
+    w = Window.partitionBy("doc_id")
+    low, high, n = F.least(F.lit(0.0), F.min("value").over(w)), F.max("value").over(w), F.count("*").over(w)
+    out = values.withColumn("__low", low).withColumn("__high", high).withColumn("__n", n)
+    span = F.when(F.col("__high") > F.col("__low"), F.col("__high") - F.col("__low")).otherwise(1.0)
+    out = out.withColumn("x", width * F.col("i") / F.greatest(F.col("__n") - 1, F.lit(1))).withColumn("y", (F.col("value") - F.col("__low")) / span * height)
+    return out.drop("__low", "__high", "__n")
 
 
 def paginate(rows: DataFrame, page_height: float, header_height: float = 0.0) -> DataFrame:
@@ -134,6 +139,7 @@ def ctm_decompose(a: Column, b: Column, c: Column, d: Column) -> tuple[Column, C
     return F.sqrt(a * a + b * b), F.sqrt(c * c + d * d), F.atan2(b, a)
 
 
+#: Bits of form fields, counted from 1 (fixed values).
 FLAGS = {"read_only": 1, "required": 2, "no_export": 3, "multiline": 13, "password": 14, "no_toggle_to_off": 15, "radio": 16, "pushbutton": 17, "combo": 18, "edit": 19, "sort": 20, "file_select": 21, "multi_select": 22, "do_not_spell_check": 23, "do_not_scroll": 24, "comb": 25, "rich_text": 26}
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.files import extract
@@ -19,6 +21,24 @@ def meta_wide(meta: DataFrame) -> DataFrame:
     return meta.groupBy("doc_id").agg(*known, F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("raw"))
 
 
+def every_page(docs: DataFrame, pages: DataFrame) -> DataFrame:
+    """All pages of docs (doc_id, page_count), with the columns of pages (doc_id, page, ...) where it has them."""
+    spine = docs.where("page_count > 0").select("doc_id", F.explode(F.sequence(F.lit(1), "page_count")).alias("page"))
+    return spine.join(pages, ["doc_id", "page"], "left")
+
+
+def merge_meta(*origins: DataFrame) -> DataFrame:
+    """doc_id, key, value of several origins (doc_id, key, value); the last that has a key wins."""
+    ranked = [o.select("doc_id", "key", "value", F.lit(-k).alias("__rank")) for k, o in enumerate(origins)]
+    return reduce(DataFrame.union, ranked).groupBy("doc_id", "key").agg(F.min_by("value", "__rank").alias("value"))
+
+
+def merge_lines(text: DataFrame, image: DataFrame, tie: str) -> DataFrame:
+    """Lines of texts and of images as one list per document, numbered (``place``) by page, from the top, then by ``tie``."""
+    w = Window.partitionBy("doc_id").orderBy("page", F.desc("y"), tie)
+    return text.unionByName(image).withColumn("place", F.row_number().over(w))
+
+
 def tokens_with_shapes(runs: DataFrame, annotations: DataFrame | None = None, **line_options) -> tuple[DataFrame, DataFrame]:
     """(tokens with kind and shape_seq, shapes). Shapes are inferred with default line options whatever is given for the lines."""
     placed = L.placed_tokens(runs, **line_options)
@@ -50,11 +70,10 @@ def assemble(files: DataFrame, *, image_bytes: bool = False, line_options: dict
     img = extract(files, "images", **options)
     one = F.array(F.struct(F.lit(1).alias("token_no"), F.col("x"), F.lit("").alias("text"), F.col("render_width").alias("width"), F.lit("image").alias("kind")))
     image_lines = img.select("doc_id", "page", "y", "x", F.lit("").alias("text"), (F.col("seq") + 1_000_000).alias("o"), one.alias("tokens"), (F.col("bytes") if image_bytes else F.lit(None).cast("binary")).alias("image"))
-    both = text_lines.unionByName(image_lines)
-    pages = both.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("down"), "o", "y", "x", "text", "tokens", "image"))).alias("l"))
+    both = merge_lines(text_lines, image_lines, "o")
+    pages = both.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("place", "y", "x", "text", "tokens", "image"))).alias("l"))
     pages = pages.select("doc_id", "page", F.transform("l", lambda r: F.struct(r["y"].alias("y"), r["x"].alias("x"), r["text"].alias("text"), r["tokens"].alias("tokens"), r["image"].alias("image"))).alias("lines"))
     docs = extract(files, "docs", **options)
-    every = docs.where("page_count > 0").select("doc_id", F.explode(F.sequence(F.lit(1), "page_count")).alias("page")).join(pages, ["doc_id", "page"], "left")
-    result = every.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("page").alias("number"), "lines"))).alias("pages"))
+    result = every_page(docs, pages).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("page").alias("number"), "lines"))).alias("pages"))
     head = docs.join(meta_wide(extract(files, "meta", **options)), "doc_id", "left").join(result, "doc_id", "left")
     return head.select("doc_id", F.struct(*META.values(), "page_count", "version", "encrypted", "recovery_log", "raw").alias("meta"), "error", "pages")

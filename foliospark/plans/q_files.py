@@ -38,10 +38,10 @@ def pdf_roundtrip_meta(spark, sf_dir):
     return extract(files(spark, sf_dir), "meta").select("doc_id", "key", "value")
 
 
-@query(f"WITH l AS (SELECT item_id AS doc_id, unnest(string_split({_WIN}, chr(10))) AS line FROM benchmark) SELECT doc_id, count(*) AS runs, sum(length(line))::BIGINT AS chars FROM l WHERE line <> '' GROUP BY doc_id")
+@query(f"WITH l AS (SELECT doc_id, unnest(string_split({_WIN}, chr(10))) AS line FROM documents) SELECT doc_id, count(*) AS runs, sum(length(line))::BIGINT AS chars FROM l WHERE line <> '' GROUP BY doc_id")
 def encrypted_roundtrip(spark, sf_dir):
     """AES-128 with passwords of user and owner (AES-256 takes seconds a file to derive its key in plain Python; tests cover it)."""
-    made = files(spark, sf_dir, "benchmark", "item_id", user_password="u", owner_password="o", cipher="aes128")
+    made = files(spark, sf_dir, user_password="u", owner_password="o", cipher="aes128")
     return extract(made, "runs", password="o").groupBy("doc_id").agg(F.count("*").alias("runs"), F.sum(F.length("text")).alias("chars"))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import lines as L
+from ..operators import outlines as O
+from ..operators import result as R
 from ..operators import shapes as S
 from .registry import query
 
@@ -141,11 +143,12 @@ _COLON = r"'^(.+:)([^\s:].+|[^\s:\x00-\x7F])$'"
 _URI = "(contains({0}, '://') OR contains({0}, '@') OR starts_with({0}, 'www.') OR starts_with({0}, 'http'))"
 
 
-@query(rf"""WITH s AS (SELECT conv_id, turn, role || ':' || split_part(text, ' ', 1) AS t FROM conversations)
-SELECT conv_id, turn, unnest(CASE WHEN NOT {_URI.format('t')} AND regexp_matches(t, {_COLON}) THEN [regexp_extract(t, {_COLON}, 1), regexp_extract(t, {_COLON}, 2)] ELSE [t] END) AS piece FROM s WHERE t IS NOT NULL""")
+@query(rf"""WITH w AS (SELECT conv_id, turn, role, unnest(string_split(text, ' ')) AS w, CAST(generate_subscripts(string_split(text, ' '), 1) - 1 AS INTEGER) AS i FROM conversations), s AS (SELECT conv_id, turn, i, role || ':' || w AS t FROM w)
+SELECT conv_id, turn, i, unnest(CASE WHEN NOT {_URI.format('t')} AND regexp_matches(t, {_COLON}) THEN [regexp_extract(t, {_COLON}, 1), regexp_extract(t, {_COLON}, 2)] ELSE [t] END) AS piece FROM s WHERE t IS NOT NULL""")
 def split_colon(spark, sf_dir):
-    t = F.concat("role", F.lit(":"), F.element_at(F.split("text", " "), 1))
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", t.alias("t")).where("t is not null").select("conv_id", "turn", F.explode(T.split_label_colon(F.col("t"))).alias("piece"))
+    """Every word of every turn behind its speaker's label."""
+    words = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.posexplode(F.split("text", " ")).alias("i", "w"))
+    return words.select("conv_id", "turn", "i", F.concat("role", F.lit(":"), "w").alias("t")).where("t is not null").select("conv_id", "turn", "i", F.explode(T.split_label_colon(F.col("t"))).alias("piece"))
 
 
 @query(r"""WITH s AS (SELECT p_partkey, replace(p_brand, '#', '') || 'x' AS t FROM part)
@@ -186,7 +189,8 @@ def dict_partition(spark, sf_dir):
 
 @query(f"""{BASE}, placed AS (SELECT k.*, h.y FROM tokens k JOIN heads h USING (doc_id, page, line_no)),
 sh AS (SELECT doc_id, page, x - 3 AS x1, x + 40 AS x2, y - 1 AS y1, y + 1 AS y2, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, line_no, token_no) AS INTEGER) AS shape_seq FROM placed WHERE text LIKE '%.'),
-first AS (SELECT p.doc_id, p.page, p.line_no, p.token_no, min(s.shape_seq) AS shape_seq FROM placed p JOIN sh s ON p.doc_id = s.doc_id AND p.page = s.page AND p.y BETWEEN s.y1 - 2 AND s.y2 + 2 AND p.x <= s.x2 AND p.x + p.width >= s.x1 GROUP BY ALL)
+bands AS (SELECT *, unnest(generate_series(CAST(floor((y1 - 2) / 16) AS BIGINT), CAST(floor((y2 + 2) / 16) AS BIGINT))) AS band FROM sh),
+first AS (SELECT p.doc_id, p.page, p.line_no, p.token_no, min(s.shape_seq) AS shape_seq FROM placed p JOIN bands s ON p.doc_id = s.doc_id AND p.page = s.page AND CAST(floor(p.y / 16) AS BIGINT) = s.band AND p.y BETWEEN s.y1 - 2 AND s.y2 + 2 AND p.x <= s.x2 AND p.x + p.width >= s.x1 GROUP BY ALL)
 SELECT p.doc_id, p.page, p.line_no, p.token_no, f.shape_seq, CASE WHEN f.shape_seq IS NULL THEN 'text' ELSE 'link' END AS kind FROM placed p LEFT JOIN first f USING (doc_id, page, line_no, token_no)""")
 def attach_shapes(spark, sf_dir):
     from pyspark.sql import Window
@@ -206,8 +210,8 @@ def pages_outer(spark, sf_dir):
     """Every page up to one past the last, with its number of lines, none where there is no line."""
     ln = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
     pages = ln.groupBy("doc_id", (F.floor(F.col("ln") / 50) + 1).cast("int").alias("page")).agg(F.count(F.when(F.col("line").like("% %"), 1)).alias("n"))
-    every = pages.groupBy("doc_id").agg((F.max("page") + 1).alias("top")).select("doc_id", F.explode(F.sequence(F.lit(1), "top")).alias("page"))
-    return every.join(pages, ["doc_id", "page"], "left").select("doc_id", "page", F.coalesce("n", F.lit(0)).alias("n_lines"))
+    counts = pages.groupBy("doc_id").agg((F.max("page") + 1).alias("page_count"))
+    return R.every_page(counts, pages).select("doc_id", "page", F.coalesce("n", F.lit(0)).alias("n_lines"))
 
 
 @query("""WITH u AS (SELECT doc_id, 'lang' AS key, lang AS value, 1 AS rank FROM documents UNION ALL SELECT doc_id, 'source', source, 1 FROM documents UNION ALL SELECT doc_id, 'source', 'label', 0 FROM labels UNION ALL SELECT doc_id, 'quality', CAST(quality AS VARCHAR), 0 FROM labels)
@@ -215,9 +219,8 @@ SELECT doc_id, key, arg_min(value, rank) AS value FROM u GROUP BY doc_id, key"""
 def meta_merge_priority(spark, sf_dir):
     """Keys of two origins, the second winning: a grouped minimum by rank."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    pair = lambda df, key, value, rank: df.select("doc_id", F.lit(key).alias("key"), value.alias("value"), F.lit(rank).alias("rank"))
-    both = pair(docs, "lang", F.col("lang"), 1).union(pair(docs, "source", F.col("source"), 1)).union(pair(labels, "source", F.lit("label"), 0)).union(pair(labels, "quality", F.col("quality").cast("string"), 0))
-    return both.groupBy("doc_id", "key").agg(F.min_by("value", "rank").alias("value"))
+    pair = lambda df, key, value: df.select("doc_id", F.lit(key).alias("key"), value.alias("value"))
+    return R.merge_meta(pair(docs, "lang", F.col("lang")).union(pair(docs, "source", F.col("source"))), pair(labels, "source", F.lit("label")).union(pair(labels, "quality", F.col("quality").cast("string"))))
 
 
 @query("""WITH u AS (SELECT doc_id, 1 AS page, 700.0 - row_number() OVER (PARTITION BY doc_id ORDER BY quality) AS y, 'text' AS kind FROM labels UNION ALL SELECT doc_id, 1, 699.5, 'image' FROM documents)
@@ -227,8 +230,8 @@ def union_lines_images(spark, sf_dir):
 
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     text = labels.select("doc_id", F.lit(1).alias("page"), (700.0 - F.row_number().over(Window.partitionBy("doc_id").orderBy("quality"))).alias("y"), F.lit("text").alias("kind"))
-    both = text.unionByName(docs.select("doc_id", F.lit(1).alias("page"), F.lit(699.5).alias("y"), F.lit("image").alias("kind")))
-    return both.select("doc_id", "kind", "y", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", F.desc("y"), "kind")).cast("long").alias("place"))
+    image = docs.select("doc_id", F.lit(1).alias("page"), F.lit(699.5).alias("y"), F.lit("image").alias("kind"))
+    return R.merge_lines(text, image, "kind").select("doc_id", "kind", "y", F.col("place").cast("long").alias("place"))
 
 
 @query(f"""{BASE},{CONTACT}, inferred AS (SELECT c.doc_id, c.page, c.x AS x1, h.y AS y1, c.type, c.target, 'inferred' AS source FROM contacts c JOIN heads h USING (doc_id, page, line_no)),
@@ -261,18 +264,15 @@ def outline_preorder(spark, sf_dir):
     null = F.lit(None)
     rows = region.select(F.col("r_regionkey").alias("top"), null.cast("int").alias("mid"), null.cast("long").alias("leaf"), F.lit(0).alias("level"), F.col("r_name").alias("title"))
     rows = rows.union(nation.select("n_regionkey", "n_nationkey", null.cast("long"), F.lit(1), "n_name"))
-    rows = rows.union(customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select("n_regionkey", "n_nationkey", "c_custkey", F.lit(2), "c_name"))
-    # places: counts within a region by window, plus the sizes of the regions before (a handful of rows)
-    from pyspark.sql import Window
-
-    sizes = rows.groupBy("top").agg(F.count("*").alias("n"))
-    before = sizes.select("top", F.coalesce(F.sum("n").over(Window.orderBy("top").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("top").orderBy(F.asc_nulls_first("mid"), F.asc_nulls_first("leaf")))
-    return rows.join(F.broadcast(before), "top").select("top", "mid", "leaf", (place + F.col("before")).alias("place"), "level", "title")
+    rows = rows.union(customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("n_regionkey", "n_nationkey", "c_custkey", F.lit(2), "c_name"))
+    return O.preorder(rows, ["top", "mid", "leaf"]).select("top", "mid", "leaf", "place", "level", "title")
 
 
 @query("""SELECT o_orderkey, n.n_regionkey + 1 AS dest_page FROM orders o LEFT JOIN customer c ON o_custkey = c_custkey LEFT JOIN nation n ON c_nationkey = n_nationkey""")
 def named_dest_join(spark, sf_dir):
     """Names to destinations to page numbers: two left equi-joins."""
     orders, customer, nation = (read(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
-    return orders.select("o_orderkey", F.col("o_custkey").alias("c_custkey")).join(customer.select("c_custkey", F.col("c_nationkey").alias("n_nationkey")), "c_custkey", "left").join(nation, "n_nationkey", "left").select("o_orderkey", (F.col("n_regionkey") + 1).alias("dest_page"))
+    links = orders.select("o_orderkey", F.col("o_custkey").alias("dest"))
+    names = customer.select(F.col("c_custkey").alias("name"), F.col("c_nationkey").alias("target"))
+    pages = nation.select(F.col("n_nationkey").alias("target"), F.col("n_regionkey").alias("page_index"))
+    return O.resolve_names(links, names, pages).select("o_orderkey", "dest_page")

@@ -22,10 +22,11 @@ def share_package(spark: SparkSession) -> SparkSession:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where its input has fewer partitions than those, as a table of one row group has.
+    """df over all cores where its input has fewer files than those, as a table of one row group has.
 
-    For steps that cost far more than a shuffle of their rows. Inputs of any size have partitions enough and stay as they are."""
+    For steps that cost far more than a shuffle of their rows. Inputs of as many files as cores stay as they are; what is known of the files alone
+    decides, so no job runs."""
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

@@ -1,7 +1,8 @@
 """``spark.read.format("folio")``: tables of documents by path, with filters on page and path pushed into the reader.
 
 Options: path (a folder, a file or a glob), table (default runs), password, mode, cmapDir, baseEncoding, filesPerTask.
-Register with ``register(spark)``; pushdown needs spark.sql.python.filterPushdown.enabled=true, else Spark filters itself."""
+Register with ``register(spark)``, which also enables spark.sql.python.filterPushdown.enabled for the session (a reader that takes
+filters cannot run without it). Ids are those of ``files.read_files``."""
 
 from __future__ import annotations
 
@@ -68,7 +69,8 @@ class FolioReader(DataSourceReader):
         for p in partition.paths:
             with where.open_input_stream(p) as f:
                 data = f.read()
-            doc_id = xxhash.xxh64_intdigest(p.encode(), 42)
+            # as Spark writes the path
+            doc_id = xxhash.xxh64_intdigest((f"{path.split('://')[0]}://{p}" if "://" in path and not path.startswith("file:") else f"file:{p}").encode(), 42)
             head = {"doc_id": doc_id - (1 << 64) if doc_id >> 63 else doc_id, "path": p}
             got = extract(data, {table}, password=o.get("password", ""), recover=o.get("mode", "PERMISSIVE").upper() != "FAILFAST", pages=self.pages, cmap_dir=o.get("cmapdir", o.get("cmapDir")), base_encoding=o.get("baseencoding", o.get("baseEncoding")))
             for r in got[table]:
@@ -103,3 +105,4 @@ class FolioSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(FolioSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
