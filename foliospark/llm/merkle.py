@@ -1,14 +1,14 @@
-"""Operator 6 [native]: document fingerprints as a Merkle tree over paragraphs and sections.
+"""Operator 6 [native]: document fingerprints as a Merkle tree over clauses, paragraphs and sections.
 
-DataFrame functions only. A text's paragraphs are its lines. A section is a run of
+DataFrame functions only. A text's paragraphs are its lines. The leaves are the clauses of a paragraph: words up to and including one
+of seven or more characters with its space (a border made by content, so an insertion moves no other border). A section is a run of
 paragraphs that ends after one whose hash starts with a hex digit of '0' or '1' (about every
-eighth: a border made by content, so an insertion moves no other border). Node hashes: a
-paragraph's is md5 of its text, a section's md5 of its paragraphs' hashes, the root sha2-256
+eighth: again a border made by content). Node hashes: a clause's is the start of the md5 of its text, a
+paragraph's the md5 of its clauses' hashes, a section's the md5 of its paragraphs' hashes, the root sha2-256
 of the sections' hashes. The root is the fingerprint: equal texts have equal roots, and
 differing branches are found by comparing the sections, then the paragraphs of those that
-differ (``changes``). Below the paragraphs, clauses (words up to and including one of seven or
-more characters, again borders made by content) give the likeness of two trees: the
-mean of the shares of each one's distinct clauses that the other has.
+differ (``changes``). The likeness of two trees comes from their leaves: the
+mean of the shares of each one's distinct leaves that the other has.
 """
 
 from __future__ import annotations
@@ -24,9 +24,19 @@ GROUPS = 32_768
 MARK = "\u0001"
 
 
-def paragraphs(text: Column) -> Column:
-    """md5 of each line."""
-    return F.transform(F.split(text, "\n", -1), lambda x: F.md5(x.cast("binary")))
+#: Hash of a clause without a character, which is no leaf to compare by.
+BLANK = "d41d8cd98f00b204"
+
+
+def leaves(text: Column) -> Column:
+    """Clause hashes (16 hex digits of md5) of each line."""
+    clause = lambda x: F.substring(F.md5(x.cast("binary")), 1, 16)
+    return F.transform(F.split(text, "\n", -1), lambda line: F.transform(F.split(F.regexp_replace(line, "([^ ]{7} )", f"$1{MARK}"), MARK, -1), clause))
+
+
+def paragraphs(tree: Column) -> Column:
+    """Hash of each line from its clauses' hashes."""
+    return F.transform(tree, lambda x: F.md5(F.array_join(x, "").cast("binary")))
 
 
 def sections(hashes: Column) -> Column:
@@ -40,14 +50,11 @@ def root(section_hashes: Column) -> Column:
 
 
 def fingerprint(text: Column) -> Column:
-    return root(sections(paragraphs(text)))
+    return root(sections(paragraphs(leaves(text))))
 
 
-def clauses(text: Column) -> Column:
-    """Distinct clause hashes (16 hex digits of md5); a text without a word has none."""
-    marked = F.regexp_replace(text, "([^ \\n]{7}) ", f"$1{MARK}")
-    kept = F.filter(F.split(marked, f"[{MARK}\\n]", -1), lambda x: F.trim(x) != "")
-    return F.array_distinct(F.transform(kept, lambda x: F.substring(F.md5(x.cast("binary")), 1, 16)))
+def distinct_leaves(tree: Column) -> Column:
+    return F.array_remove(F.array_distinct(F.flatten(tree)), BLANK)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -58,7 +65,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def changes(before: Column, after: Column) -> Column:
     """Where two trees differ: indexes of the sections and paragraphs of ``after`` that ``before`` lacks."""
-    old, new = paragraphs(before), paragraphs(after)
+    old, new = paragraphs(leaves(before)), paragraphs(leaves(after))
 
     def missing(had: Column, have: Column) -> Column:
         return F.filter(F.transform(have, lambda x, i: F.when(F.array_contains(had, x), F.lit(-1)).otherwise(i)), lambda i: i >= 0)
@@ -115,19 +122,21 @@ def fingerprint_edits(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     base = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     dealt = deal_in_order(base)
     w = Window.partitionBy("__g").orderBy("__last", "__k", "text")
-    own = dealt.withColumn("c", clauses(F.col("text"))).withColumn("next_text", F.lead("text").over(w)).withColumn("next_c", F.lead("c").over(w)).where("__last = 0")
+    own = dealt.withColumn("tree", leaves(F.col("text"))).withColumn("next_text", F.lead("text").over(w)).withColumn("next_tree", F.lead("tree").over(w)).where("__last = 0")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     own = own.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))
+    own = own.withColumn("edited_tree", leaves(F.col("edited")))
+    c, e, following = (distinct_leaves(F.col(x)) for x in ("tree", "edited_tree", "next_tree"))
     return own.select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        fingerprint(F.col("text")).alias("fingerprint"),
-        fingerprint(F.col("edited")).alias("edited_fingerprint"),
-        likeness(F.col("c"), clauses(F.col("edited"))).alias("near_edited"),
-        likeness(F.col("c"), F.col("next_c")).alias("near_next"),
-        F.size(F.split("text", "\n", -1)).alias("n_paragraphs"),
+        root(sections(paragraphs(F.col("tree")))).alias("fingerprint"),
+        root(sections(paragraphs(F.col("edited_tree")))).alias("edited_fingerprint"),
+        likeness(c, e).alias("near_edited"),
+        likeness(c, following).alias("near_next"),
+        F.size("tree").alias("n_paragraphs"),
     )
 
 
@@ -137,13 +146,14 @@ o AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS rn, cou
 e AS (SELECT a.doc_id, a.text, b.text AS next_text, length(a.text)::BIGINT AS n_chars,
         substr(a.text, 1, length(a.text) - length(a.text) // 2) || substr(b.text, 1, length(a.text) // 2) AS edited
       FROM o a JOIN o b ON b.rn = a.rn % a.n + 1),
-p AS (SELECT *, list_transform(string_split(text, chr(10)), lambda x: md5(x)) AS p1, list_transform(string_split(edited, chr(10)), lambda x: md5(x)) AS p2 FROM e),
+t AS (SELECT *, list_transform(string_split(text, chr(10)), lambda l: list_transform(string_split(regexp_replace(l, '([^ ]{7} )', '\1' || chr(1), 'g'), chr(1)), lambda x: substr(md5(x), 1, 16))) AS t1,
+        list_transform(string_split(edited, chr(10)), lambda l: list_transform(string_split(regexp_replace(l, '([^ ]{7} )', '\1' || chr(1), 'g'), chr(1)), lambda x: substr(md5(x), 1, 16))) AS t2,
+        list_transform(string_split(next_text, chr(10)), lambda l: list_transform(string_split(regexp_replace(l, '([^ ]{7} )', '\1' || chr(1), 'g'), chr(1)), lambda x: substr(md5(x), 1, 16))) AS t3 FROM e),
+p AS (SELECT *, list_transform(t1, lambda x: md5(array_to_string(x, ''))) AS p1, list_transform(t2, lambda x: md5(array_to_string(x, ''))) AS p2 FROM t),
 s AS (SELECT *,
         list_transform(string_split(regexp_replace(array_to_string(list_transform(p1, lambda x: x || CASE WHEN x[1] IN ('0', '1') THEN '|' ELSE '' END), ''), '\|$', ''), '|'), lambda x: md5(x)) AS s1,
         list_transform(string_split(regexp_replace(array_to_string(list_transform(p2, lambda x: x || CASE WHEN x[1] IN ('0', '1') THEN '|' ELSE '' END), ''), '\|$', ''), '|'), lambda x: md5(x)) AS s2,
-        list_distinct(list_transform(list_filter(string_split(replace(regexp_replace(text, '([^ \n]{7}) ', '\1' || chr(1), 'g'), chr(10), chr(1)), chr(1)), lambda x: trim(x) <> ''), lambda x: substr(md5(x), 1, 16))) AS c1,
-        list_distinct(list_transform(list_filter(string_split(replace(regexp_replace(edited, '([^ \n]{7}) ', '\1' || chr(1), 'g'), chr(10), chr(1)), chr(1)), lambda x: trim(x) <> ''), lambda x: substr(md5(x), 1, 16))) AS c2,
-        list_distinct(list_transform(list_filter(string_split(replace(regexp_replace(next_text, '([^ \n]{7}) ', '\1' || chr(1), 'g'), chr(10), chr(1)), chr(1)), lambda x: trim(x) <> ''), lambda x: substr(md5(x), 1, 16))) AS c3
+        list_filter(list_distinct(flatten(t1)), lambda x: x <> 'd41d8cd98f00b204') AS c1, list_filter(list_distinct(flatten(t2)), lambda x: x <> 'd41d8cd98f00b204') AS c2, list_filter(list_distinct(flatten(t3)), lambda x: x <> 'd41d8cd98f00b204') AS c3
       FROM p)
 SELECT doc_id, n_chars, sha256(edited) AS edited_sha256,
   sha256(array_to_string(s1, '')) AS fingerprint, sha256(array_to_string(s2, '')) AS edited_fingerprint,
