@@ -218,9 +218,9 @@ def near_duplicates(df: DataFrame, *, radius: int = 2, width: int = 3, seed: int
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable), component_size (documents).
 
     Defined cases: null and empty texts have fingerprint 0 and link to each other; rows that repeat
-    an id stay rows and share the component; a null id is left out, since it can be no component's
-    smallest; an empty table gives an empty result."""
-    marked = cut(fingerprints(df.where(F.col(id_col).isNotNull()), width=width, seed=seed, id_col=id_col, text_col=text_col))
+    an id stay rows and share the component; rows without an id stay too and have their component's smallest
+    id, or none if no row of it has one; an empty table gives an empty result."""
+    marked = cut(fingerprints(df, width=width, seed=seed, id_col=id_col, text_col=text_col))
     classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     comp = components(fingerprint_links(classes.select("fp"), radius)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
     placed = classes.join(comp, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
