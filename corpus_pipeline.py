@@ -1,7 +1,11 @@
 """A corpus through five stages; each takes (spark, docs, sf_dir) and is written before the next reads it.
 
 Quality, near-duplicates, repeated passages and benchmark leaks filter or edit the documents and keep their
-columns; the last stage encodes what is left."""
+columns; the last stage encodes what is left.
+
+Defined cases: a null text counts as empty everywhere; its score decides in the first stage, and of all texts without a word one stays after the second.
+Null ids pass: each of their texts is a document of its own, of which no passage is cut. Repeated rows become one. Extra columns
+travel along whatever their names; an empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -53,11 +57,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's result is a Parquet table in the shared folder."""
+    """All stages over documents; each one's result is a Parquet table in the shared folder, removed when the next one is written."""
     import uuid
 
-    at, docs = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}", read(spark, sf_dir, "documents")
+    at, docs, had = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}", read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
+        if had:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(had)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        had = f"{at}/{name}"
     return docs
