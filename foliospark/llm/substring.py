@@ -7,21 +7,22 @@ stands for all of them. About 2 n / min_words nodes of n qualify; they are found
 
 1. One min-hash is only one shared shingle, so windows meet by more. Of each window go out, for either side of c,
    * for ``FUNCTIONS`` pairs of hash functions: (min-hash of c, the other function's min-hash over the near side), which
-     similar stretches share, and
-   * for the first function: the exact words at c and on the near side (half a passage), with hashes of the words
-     beyond, by blocks. An exact repeat of min_words words or more shares at least one of the two sides.
-   Groups link each window to their first (lowest doc_id). Groups of exact words are split by the blocks first, into all stretches of
-   min_words - 1 (or - 5) words around c: documents that share only a part of the passage then keep nobody
-   from its true partner. A task links its own windows so and sends on only those that lead a group or found no partner, so a
-   passage that stands in every document brings a row or two per piece of text to its group.
+     similar stretches share, with the min-hashes of four runs of shingles on each side, a byte each, and
+   * for the first function: the exact words at c and on the near side (half a passage), with the words beyond, a byte each.
+     An exact repeat of min_words words or more shares at least one of the two sides.
+   Groups of exact words are split into every stretch of min_words words that holds the key: whoever shares a stretch has the
+   passage, so a link to the first (lowest doc_id) loses none. Groups of min-hashes link to their first and, so that one who
+   shares only the near side hides nobody, to the first of each split by four runs round c, all of them or three.
+   A task links its own windows so and sends on those that are first in any split: what it keeps back has a
+   link in every split, and its partner goes on in its place.
 2. Links of one pair of documents are interval-joined: overlapping windows on about one diagonal are one candidate.
 3. Candidates take their stretches of text from both documents in one native join, which AQE may split for a hot
    partner; the two of a pair then meet, and are verified exactly: maximal stretches of shared shingles with Jaccard similarity ``least`` or more and
    ``min_words`` words or more.
 
-What is certain: an exact repeat of min_words + 5 words or more is found whatever else the documents around it hold,
-unless each of its stretches of min_words - 1 words also stands in an earlier document that has not the rest; between min_words and that, documents that share min_words - 5 words of it can hide
-it. Repeats with edits meet with a probability (measured in the README).
+What is certain: an exact repeat of min_words words or more is found whatever else the documents around it hold, but for
+bytes that are equal by chance (one in 255 for an earlier document with all but one word of a stretch, and that to the power of the words it lacks).
+Repeats with edits meet with a probability (measured in the README).
 
 A row is a passage of doc_id that repeats one of the earlier document partner_id. The first occurrence
 thus has no row of its own, and cutting all reported passages keeps one copy of each.
@@ -51,7 +52,9 @@ KINDS = 2 * FUNCTIONS + 2
 #: A link stands for two hashes that agree (or for equal words), so one is enough.
 ENOUGH = 1
 #: Rows of one key that are linked at once; of more, only those that lead a group are kept.
-HELD = 200_000
+HELD = 50_000
+#: Runs of shingles on each side of a window's anchor, whose min-hashes split groups of min-hashes.
+RUNS = 4
 #: Ids that are broadcast at most (eight bytes each); beyond it all texts are shuffled.
 BROADCAST = 1_000_000
 #: Shared shingles at each end of a stretch that tell where the partner's begins and ends.
@@ -113,10 +116,15 @@ def tokens_of(texts: list[str]):
     return start, end, doc, words, token, at
 
 
-def sides(min_words: int) -> tuple[int, int, int]:
-    """Words of a block, blocks of the near side, blocks of a whole passage, all without the anchor's own shingle."""
-    step = max(1, -(-(min_words - SHINGLE) // 12))
-    return step, (min_words - SHINGLE + 1) // 2 // step, (min_words - SHINGLE) // step
+def sides(min_words: int) -> tuple[int, int]:
+    """Words of the near side, and of what a stretch of ``min_words`` words has beyond it, without the anchor's own shingle."""
+    near = (min_words - SHINGLE + 1) // 2
+    return near, min_words - SHINGLE - near
+
+
+def width(min_words: int) -> int:
+    """Bytes that tell what lies around a window."""
+    return max(2 * sides(min_words)[1], 2 * RUNS)
 
 
 def _least(h: np.ndarray, n: int) -> np.ndarray:
@@ -130,15 +138,18 @@ def _least(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def windows_of(texts: list[str], min_words: int):
-    """key, text, l, c, r (characters), x, y of all compact windows' sides, by key, text and c. The key's last three bits are its kind;
-    x and y: blocks beyond the near side and on the other side, of exact words. Of one key in one text, one for each ``min_words`` of the way,
-    so that every repeat has its own."""
+    """key, text, l, c, r (characters) and bytes around of all compact windows' sides. The key's last three bits are its kind. Around: a byte for
+    each word beyond the near side and on the other side, from c outwards, of exact words; for each run of shingles on the left and on the right of min-hashes;
+    0 where the text ends. Of equal ones in one text, one for each ``min_words`` of the way, so that every repeat has its own."""
     start, end, doc, words, token, at = tokens_of(texts)
     none = np.zeros(0, np.int64)
+    wide = width(min_words)
     if len(words) < min_words:
-        return none.astype(np.uint64), none, none, none, none, none, none
-    step, near, full = sides(min_words)
+        return none.astype(np.uint64), none, none, none, none, np.zeros((0, wide), np.uint8)
+    near, beyond = sides(min_words)
+    some, run = max(1, (min_words - SHINGLE) * 4 // 9), max(1, (min_words - SHINGLE + 1) // RUNS)
     first, last = np.searchsorted(doc, doc), np.searchsorted(doc, doc, side="right")
+    word_byte = (words % np.uint64(255)).astype(np.uint8) + np.uint8(1)
     out = []
 
     def hashed(f):
@@ -146,51 +157,62 @@ def windows_of(texts: list[str], min_words: int):
             h = mix64(token ^ _seed(f))
         return np.where(token == 0, np.uint64(0), h | np.uint64(1 << _PLACE))
 
-    def add(kind, key, some, l, c, r, x, y):
+    def add(kind, key, some, l, c, r, around):
         k = np.flatnonzero(some)
         key = (mix64(key[k] + np.uint64(kind)) & ~np.uint64(7)) | np.uint64(kind)
         d = doc[c[k]]
-        out.append((key, d, start[l[k]] - at[d], start[c[k]] - at[d], end[r[k] + SHINGLE - 1] - at[d], x[k], y[k], c[k]))
-
-    def blocks(c, before, count):
-        """A byte for each block of words from word c on (or back from it); what leaves the text is like nothing."""
-        v = np.zeros(len(c), np.uint64)
-        for k in range(count):
-            i = c - step * (k + 1) if before else c + step * k
-            inside = (i >= first[np.minimum(c, len(doc) - 1)]) & (i + step <= last[np.minimum(c, len(doc) - 1)]) & (c < len(doc))
-            b = mix64(c.astype(np.uint64) * np.uint64(64) + np.uint64(k))
-            b[inside] = span_hashes(words, i[inside], i[inside] + step)
-            v |= (b & np.uint64(255)) << np.uint64(8 * k)
-        return v.view(np.int64)
+        out.append((key, d, start[l[k]] - at[d], start[c[k]] - at[d], end[r[k] + SHINGLE - 1] - at[d], around[k], c[k]))
+
+    def bytes_at(values, c, where):
+        """values at the places where, as far as they are in the text of c; 0 elsewhere."""
+        inside = (where >= first[c][:, None]) & (where < last[c][:, None])
+        return np.where(inside, values[np.clip(where, 0, len(values) - 1)], np.uint8(0))
 
     for f in range(FUNCTIONS):
         h, other = hashed(f), hashed(f + FUNCTIONS)
         l, c, r = compact_windows(h, min_words - SHINGLE + 1)
-        zero = np.zeros(len(c), np.int64)
-        low = _least(other, near * step)
-        right, left = low[c], np.where(c >= near * step - 1, low[np.maximum(c - near * step + 1, 0)], np.uint64(0))
+        low = _least(other, some)
+        right, left = low[c], np.where(c >= some - 1, low[np.maximum(c - some + 1, 0)], np.uint64(0))
+        runs = _least(other, run)
+        run_byte = np.where(runs == 0, 0, mix64(runs) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+        k = run * np.arange(RUNS)
+        around = np.zeros((len(c), wide), np.uint8)
+        around[:, :RUNS] = bytes_at(run_byte, c, c[:, None] - run - k)
+        around[:, RUNS : 2 * RUNS] = bytes_at(run_byte, c, c[:, None] + 1 + k)
         with np.errstate(over="ignore"):
             for side, sig in enumerate((left, right)):
-                add(2 * f + side, h[c] ^ mix64(sig), sig != 0, l, c, r, zero, zero)
+                add(2 * f + side, h[c] ^ mix64(sig), sig != 0, l, c, r, around)
         if f == 0:
+            k = np.arange(beyond)
             for side in (0, 1):
-                i, j = (c - near * step, c + SHINGLE) if side == 0 else (c, c + SHINGLE + near * step)
+                i, j = (c - near, c + SHINGLE) if side == 0 else (c, c + SHINGLE + near)
                 ok = (i >= first[c]) & (j <= last[c])
                 key = span_hashes(words, np.where(ok, i, 0), np.where(ok, j, 0))
-                if side == 0:
-                    x, y = blocks(np.maximum(i, 0), True, full - near), blocks(c + SHINGLE, False, full - near)
-                else:
-                    x, y = blocks(j, False, full - near), blocks(c, True, full - near)
-                add(2 * FUNCTIONS + side, key, ok, l, c, r, x, y)
-    key, d, l, c, r, x, y, token_at = (np.concatenate(z) for z in zip(*out, strict=True))
-    order = np.lexsort((c, d, key))
-    key, d, l, c, r, x, y, token_at = (z[order] for z in (key, d, l, c, r, x, y, token_at))
+                around = np.zeros((len(c), wide), np.uint8)
+                around[:, :beyond] = bytes_at(word_byte, c, i[:, None] - 1 - k)
+                around[:, beyond : 2 * beyond] = bytes_at(word_byte, c, j[:, None] + k)
+                add(2 * FUNCTIONS + side, key, ok, l, c, r, around)
+    key, d, l, c, r, around, token_at = (np.concatenate(z) for z in zip(*out, strict=True))
+    same = key.copy()
+    for k in range(0, wide, 8):
+        with np.errstate(over="ignore"):
+            same = mix64(same + _longs(around[:, k : k + 8]))
+    order = np.lexsort((c, d, same))
+    key, d, l, c, r, around, token_at, same = (z[order] for z in (key, d, l, c, r, around, token_at, same))
     one = np.ones(len(key), bool)
-    one[1:] = (key[1:] != key[:-1]) | (d[1:] != d[:-1])
+    one[1:] = (same[1:] != same[:-1]) | (d[1:] != d[:-1])
     if len(key):
         far = (token_at - token_at[np.flatnonzero(one)][np.cumsum(one) - 1]) // (min_words - SHINGLE + 1)
         one[1:] |= far[1:] != far[:-1]
-    return key[one], d[one], l[one], c[one], r[one], x[one], y[one]
+    return key[one], d[one], l[one], c[one], r[one], around[one]
+
+
+def _longs(b: np.ndarray) -> np.ndarray:
+    """Up to eight bytes of each row as one number."""
+    v = np.zeros(len(b), np.uint64)
+    for k in range(b.shape[1]):
+        v |= b[:, k].astype(np.uint64) << np.uint64(8 * k)
+    return v
 
 
 def _leaders(group: np.ndarray) -> np.ndarray:
@@ -204,44 +226,48 @@ def _leaders(group: np.ndarray) -> np.ndarray:
     return lead
 
 
-def link(key: np.ndarray, doc: np.ndarray, x: np.ndarray, y: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def link(key: np.ndarray, doc: np.ndarray, around: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rows, their partners, which rows others may still need) of rows sorted by key and doc."""
-    step, near, full = sides(min_words)
+    n = max(1, len(key))
     exact = (key & np.uint64(7)) >= 2 * FUNCTIONS
     lead = _leaders(key)
-    i = np.flatnonzero(~exact & (doc != doc[lead]))
-    rows, partners = [i], [lead[i]]
-    # further places of the first document need partners of their own
-    needed = ~exact & (doc == doc[lead])
-    e = np.flatnonzero(exact)
-    if len(e):
-        more = np.zeros(len(key), np.int64)
-        np.add.at(more, lead[e], 1)
-        alone = more[lead[e]] == 1
-        needed[e[alone]] = True
-        e = e[~alone]
-        met, asked = np.zeros(len(key), bool), np.zeros(len(key), bool)
-        k, u, v = key[e], x[e].view(np.uint64), y[e].view(np.uint64)
-        for level in (full, full - 1):
-            for own in range(level - near + 1):
-                rest = level - near - own
-                if own > full - near or rest > full - near:
-                    continue
-                cut = lambda z, n: z & np.uint64((1 << 8 * n) - 1)
-                with np.errstate(over="ignore"):
-                    sub = mix64(k ^ mix64(cut(u, own) * np.uint64(0x9E3779B97F4A7C15) + mix64(cut(v, rest) + np.uint64(own << 56))))
-                to = _leaders(sub)
-                hit = (doc[e] != doc[e[to]]) & ~(met[e] & (level < full))
-                rows.append(e[hit])
-                partners.append(e[to[hit]])
-                asked[e[to[hit]]] = True
-            if level == full:
-                met[np.concatenate(rows[1:])] = True
-        # who met only by the shorter stretch may have a better partner elsewhere
-        needed[e] = asked[e] | ~met[e]
-    i, j = np.concatenate(rows), np.concatenate(partners)
-    both = np.unique(i * np.int64(max(1, len(key))) + j)
-    n = max(1, len(key))
+    # who is alone, or the first in any split, may be the partner of rows to come
+    needed = np.bincount(lead, minlength=len(key))[lead] == 1
+    more = ~needed
+    links = [np.zeros(0, np.int64)]
+
+    def meet(rows, split):
+        to = rows[_leaders(split)]
+        other = doc[rows] != doc[to]
+        links.append(rows[other] * np.int64(n) + to[other])
+        # further places of the first document need partners of their own
+        needed[rows[~other]] = True
+
+    with np.errstate(over="ignore"):
+        e = np.flatnonzero(more & exact)
+        if len(e):
+            beyond = sides(min_words)[1]
+            left, right = around[e, :beyond], around[e, beyond : 2 * beyond]
+            has_left, has_right = np.count_nonzero(left, axis=1), np.count_nonzero(right, axis=1)
+            outer = [mix64(key[e])]
+            for k in range(beyond):
+                outer.append(mix64(outer[-1] + right[:, k]))
+            inner = np.zeros(len(e), np.uint64)
+            for own in range(beyond + 1):
+                inside = np.flatnonzero((has_left >= own) & (has_right >= beyond - own))
+                meet(e[inside], mix64(outer[beyond - own][inside] ^ inner[inside]))
+                if own < beyond:
+                    inner = mix64(inner + left[:, own] + np.uint64(1 << 32))
+        e = np.flatnonzero(more & ~exact)
+        if len(e):
+            meet(e, key[e])
+            for own in range(RUNS + 1):
+                runs = np.concatenate([around[e, :own], around[e, RUNS : 2 * RUNS - own]], axis=1)
+                for out in range(-1, RUNS):
+                    kept = np.delete(runs, out, axis=1) if out >= 0 else runs
+                    inside = np.flatnonzero(kept.all(axis=1))
+                    meet(e[inside], mix64(key[e][inside] ^ mix64(_longs(kept[inside]) + np.uint64((own * 8 + out + 1) << 40))))
+    both = np.unique(np.concatenate(links))
     return both // n, both % n, needed
 
 
@@ -266,13 +292,32 @@ def _unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out[0], c, out[1]
 
 
-def _linked(key, ids, place, i, j) -> pa.RecordBatch:
+def _binary(around: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The first ``size`` bytes of each row."""
+    to = np.zeros(len(size) + 1, np.int32)
+    np.cumsum(size, out=to[1:])
+    data = around[np.arange(around.shape[1]) < size[:, None]]
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(to.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def _around(b: pa.Array, wide: int) -> np.ndarray:
+    """What ``_binary`` packed, with zeros up to ``wide``."""
+    to = np.frombuffer(b.buffers()[1], np.int32, len(b) + 1, 4 * b.offset)
+    size = np.diff(to)
+    around = np.zeros((len(b), wide), np.uint8)
+    if len(b) and to[-1] > to[0]:
+        around[np.arange(wide) < size[:, None]] = np.frombuffer(b.buffers()[2], np.uint8, int(to[-1] - to[0]), int(to[0]))
+    return around
+
+
+def _linked(key, ids, place, i, j, min_words) -> pa.RecordBatch:
     """Links i -> j; their key only spreads them. Without j: rows for their groups."""
     n = len(i)
     own = key[i] if j is None else (mix64(key[i] + place[1][i].astype(np.uint64)) & ~np.uint64(7)) | (key[i] & np.uint64(7))
     partner = [pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.int32())] * 3] if j is None else [pa.array(ids[j]), *(pa.array(z[j], pa.int32()) for z in place[:3])]
-    beyond = [pa.array(z[i], pa.int64()) if j is None else pa.nulls(n, pa.int64()) for z in place[3:]]
-    return batch(key=pa.array(own.view(np.int64)), doc_id=pa.array(ids[i]), **_packed(*(z[i] for z in place[:3])), x=beyond[0], y=beyond[1], p=partner[0], pl=partner[1], pc=partner[2], pr=partner[3])
+    exact = (key[i] & np.uint64(7)) >= 2 * FUNCTIONS
+    around = _binary(place[3][i], np.where(exact, 2 * sides(min_words)[1], 2 * RUNS)) if j is None else pa.nulls(n, pa.binary())
+    return batch(key=pa.array(own.view(np.int64)), doc_id=pa.array(ids[i]), **_packed(*(z[i] for z in place[:3])), around=around, p=partner[0], pl=partner[1], pc=partner[2], pr=partner[3])
 
 
 def passage_links(df: DataFrame, min_words: int) -> DataFrame:
@@ -288,44 +333,46 @@ def passage_links(df: DataFrame, min_words: int) -> DataFrame:
                 ids = ids_all[lo:hi][d]
                 order = np.lexsort((place[1], ids, key))
                 key, ids, place = key[order], ids[order], [z[order] for z in place]
-                i, j, needed = link(key, ids, place[3], place[4], min_words)
-                yield _linked(key, ids, place, np.flatnonzero(needed), None)
-                yield _linked(key, ids, place, i, j)
+                i, j, needed = link(key, ids, place[3], min_words)
+                yield _linked(key, ids, place, np.flatnonzero(needed), None, min_words)
+                yield _linked(key, ids, place, i, j, min_words)
 
-    schema = "key long, doc_id long, place long, l int, r int, x long, y long, p long, pl int, pc int, pr int"
+    schema = "key long, doc_id long, place long, l int, r int, around binary, p long, pl int, pc int, pr int"
     rows = df.mapInArrow(run, schema).repartition("key").sortWithinPartitions("key", "doc_id", "place")
 
     def meet(batches):
-        held = None
+        held, kept = None, 0
         for b in batches:
-            given = pc.is_valid(b.column(7))
+            given = pc.is_valid(b.column(6))
             yield _links_only(b.filter(given))
             b = b.filter(pc.invert(given))
             if not b.num_rows:
                 continue
-            now = [*(b.column(k).to_numpy(zero_copy_only=False) for k in ("key", "doc_id")), *_unpacked(b), *(b.column(k).to_numpy(zero_copy_only=False) for k in ("x", "y"))]
+            now = [*(b.column(k).to_numpy(zero_copy_only=False) for k in ("key", "doc_id")), *_unpacked(b), _around(b.column("around"), width(min_words))]
             held = now if held is None else [np.concatenate(z) for z in zip(held, now, strict=True)]
             # the last key may go on in the next batch
             to = int(np.searchsorted(held[0], held[0][-1]))
             if to:
                 yield from done([z[:to] for z in held])[0]
-                held = [z[to:] for z in held]
-            if len(held[0]) > HELD:
+                held, kept = [z[to:] for z in held], 0
+            # twice as many as were kept, so that a key whose rows are all needed takes time in proportion
+            if len(held[0]) > max(HELD, 2 * kept):
                 out, needed = done(held)
                 yield from out
                 held = [z[needed] for z in held]
+                kept = len(held[0])
         if held is not None and len(held[0]):
             yield from done(held)[0]
 
     def done(z):
         key, ids, place = z[0].view(np.uint64), z[1], z[2:]
-        i, j, needed = link(key, ids, place[3], place[4], min_words)
-        return [_links_only(_linked(key, ids, place, i, j))], needed
+        i, j, needed = link(key, ids, place[3], min_words)
+        return [_links_only(_linked(key, ids, place, i, j, min_words))], needed
 
     def _links_only(b):
         f = pc.bit_wise_and(b.column(0), 7).cast(pa.int32())
         l, c, r = (pa.array(z, pa.int32()) for z in _unpacked(b))
-        return pa.RecordBatch.from_arrays([b.column(1), l, c, r, f, *(b.column(k) for k in (7, 8, 9, 10))], names=["doc_id", "l", "c", "r", "f", "p", "pl", "pc", "pr"])
+        return pa.RecordBatch.from_arrays([b.column(1), l, c, r, f, *(b.column(k) for k in (6, 7, 8, 9))], names=["doc_id", "l", "c", "r", "f", "p", "pl", "pc", "pr"])
 
     return rows.mapInArrow(meet, "doc_id long, l int, c int, r int, f int, p long, pl int, pc int, pr int").where("doc_id > p")
 

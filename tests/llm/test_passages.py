@@ -103,3 +103,43 @@ def test_every_place_of_a_passage_that_a_document_repeats(spark):
     left = {r.doc_id: r.text for r in substring.cut_passages(documents(spark, texts), got).collect()}
     assert p in left[0] and p not in left[1] and left[2] == texts[2]
     assert left[3].count("same") < 50
+
+
+def test_earlier_documents_with_less_hide_no_partner(spark):
+    texts, want, edited = [], set(), set()
+
+    def among(seed, parts):
+        texts.extend(" ".join([prose(seed + 10 + k, 40), *part, prose(seed + 50 + k, 40)]) for k, part in enumerate(parts))
+        return len(texts) - 1, len(texts) - 2
+
+    for s in range(20):
+        p = prose(9000 + 1000 * s, 50).split()
+        want.add(among(9000 + 1000 * s, [p[1:], p[:49], p, p]))
+        p = prose(9500 + 1000 * s, 60).split()
+        q = [*p[:30], "changed", *p[31:]]
+        edited.add(among(9500 + 1000 * s, [p[:45], p[:45], p, q]))
+    got = {(r.doc_id, r.partner_id) for r in substring.passages(documents(spark, texts).coalesce(1)).collect()}
+    assert want <= got
+    assert len(edited & got) >= 18
+
+
+def test_a_row_with_a_partner_of_its_own_task_stays_for_others():
+    """One with words that its partner has not, and others have, is sent on; a copy is not."""
+    p = prose(77, 140)
+    w = p.split()
+    a, b = " ".join(w[:100]), p
+    key, doc, _, c, _, around = substring.windows_of([a, b, b], 50)
+    order = np.lexsort((c, doc, key))
+    key, doc, around = key[order], doc[order], around[order]
+    i, j, needed = substring.link(key, doc, around, 50)
+    assert not needed[doc == 2].any()
+    met = np.zeros(len(key), bool)
+    met[i[(doc[i] == 1) & (doc[j] == 0)]] = True
+    assert (needed & met).any()
+
+
+def test_bytes_around_travel():
+    around = np.arange(5 * 44, dtype=np.uint8).reshape(5, 44)
+    size = np.array([44, 8, 0, 8, 44])
+    got = substring._around(substring._binary(around, size).slice(1), 44)
+    assert [list(x) for x in got] == [[*x[:n], *[0] * (44 - n)] for x, n in zip(around.tolist()[1:], size[1:], strict=True)]
