@@ -302,6 +302,27 @@ def main_text(page: str, known: dict[int, tuple[float, float]] | None = None, le
     return " ".join(kept[2] or kept[1] or kept[0])
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """rows with their html compressed, which every page travels with to its host's list."""
+    at = rows.columns.index("html")
+
+    def run(b):
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=1).compress
+        cols = list(b.columns)
+        cols[at] = pa.array([None if x is None else press(x) for x in cols[at].cast(pa.binary()).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
+
+    return map_arrow(rows, run, ", ".join(f"`{name}` {'binary' if k == at else rows.schema[k].dataType.simpleString()}" for k, name in enumerate(rows.columns)))
+
+
+def unpacked(page: bytes | None) -> str:
+    import zstandard
+
+    return zstandard.decompress(page).decode() if page else ""
+
+
 def extract(pages: DataFrame, *, least: float = 0.15, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     trees = cut(page_trees(pages, url_col=url_col, html_col=html_col))
@@ -310,17 +331,19 @@ def extract(pages: DataFrame, *, least: float = 0.15, id_col: str = "page_id", u
     known = known.select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), "key", "own", "rest")
     known = known.groupBy("host", "part").agg(F.collect_list(F.struct("key", "own", "rest")).alias("known"))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host(url_col).alias("host"))
-    dealt = rows.join(F.broadcast(hot), "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.coalesce("parts", F.lit(1))))
+    rows = packed(rows.withColumn("spread", F.xxhash64("page_id", "url", F.length("html"))))
+    dealt = rows.join(F.broadcast(hot), "host", "left").withColumn("part", F.pmod("spread", F.coalesce("parts", F.lit(1))))
     rows = dealt.join(known, ["host", "part"], "left").select("page_id", "url", "html", "known")
 
     def run(b):
         texts, last, own = [], None, {}
         for k, page in enumerate(b.column(2).to_pylist()):
+            page = unpacked(page)
             got = b.column(3)[k]
             # pages of one host follow each other with the same list
             if last is None or not got.equals(last):
                 last, own = got, {x["key"]: (x["own"], x["rest"]) for x in got.as_py() or ()}
-            texts.append(main_text(page or "", own, least))
+            texts.append(main_text(page, own, least))
         yield batch(page_id=b.column(0), url=b.column(1), text=pa.array(texts, pa.string()), n_chars=pa.array([len(t) for t in texts], pa.int64()))
 
     return map_arrow(rows, run, "page_id long, url string, text string, n_chars long")

@@ -161,3 +161,12 @@ def test_a_very_long_page_and_repeated_rows(spark):
     got = h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert sorted(r.n_chars for r in got)[-1] == sum(len(prose(k, 40)) + 1 for k in range(3000)) - 1
     assert sorted(r.text for r in got)[-2:] == ["twice", "twice"] and len(got) == 4
+
+
+def test_pages_travel_compressed(spark):
+    """And come back as they were: null, empty, long, any letters."""
+    html = [None, "", "<p>a</p>", "<p>" + prose(3, 3000) + "</p>", "Ünïcödé 漢字 😀\x00"]
+    df = spark.createDataFrame(list(enumerate(html)), "page_id long, html string")
+    rows = h.packed(df).collect()
+    assert [h.unpacked(r.html) for r in rows] == [x or "" for x in html]
+    assert len(rows[3].html) < 0.6 * len(html[3])
