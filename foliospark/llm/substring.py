@@ -479,6 +479,19 @@ def _shared(x, start, end, y, y_start, y_end, min_words: int, least: float) -> l
     return out
 
 
+def small(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in copies of few at a time: about ``PIECE_CHARS`` bytes of a column of texts, or as many bytes of a column of lists."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        sizes = pc.binary_length(b.column(column)) if pa.types.is_string(b.schema[column].type) else pc.multiply(pc.list_value_length(b.column(column)), 40)
+        ends, lo = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PIECE_CHARS, side="right")))
+            yield b.take(pa.array(np.arange(lo, hi)))
+            lo = hi
+
+
 def passages(df: DataFrame, *, min_words: int = 50, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per repeated passage: doc_id, start_char, end_char, partner_id, partner_start, partner_end, n_words, similarity."""
     if min_words <= SHINGLE:
@@ -488,10 +501,14 @@ def passages(df: DataFrame, *, min_words: int = 50, least: float = 0.8, id_col:
     paired = links.groupBy("doc_id", "p").agg(F.collect_list(F.struct("f", "l", "c", "r", "pl", "pc", "pr")).alias("links"))
 
     def join(batches):
-        for b in batches:
+        for b in small(batches, 2):
             rows = []
-            for d, p, got in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                for s in stretches([tuple(x.values()) for x in got]):
+            lists = b.column(2)
+            ends = lists.offsets.to_pylist()
+            # columns, not a dict for each link; a task and its group can give the same one
+            got = list(zip(*(x.to_pylist() for x in lists.values.flatten()), strict=True))
+            for k, (d, p) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                for s in stretches(list(set(got[ends[k] : ends[k + 1]]))):
                     rows.append((d, p, *s))
             if rows:
                 c = list(zip(*rows, strict=True))
@@ -512,7 +529,7 @@ def passages(df: DataFrame, *, min_words: int = 50, least: float = 0.8, id_col:
     def check(batches):
         def verified():
             held, mine, partner, due, size = None, [], [], [], 0
-            for b in batches:
+            for b in small(batches, 7):
                 for *k, side, part in zip(*(b.column(k).to_pylist() for k in range(8)), strict=True):
                     if k != held:
                         for x in mine:
@@ -552,23 +569,22 @@ def cut_passages(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", t
     def run(batches):
         for b in batches:
             cols = [b.column(k) for k in range(len(names))]
-            texts, keep = cols[t].to_pylist(), np.ones(b.num_rows, bool)
-            changed: dict[int, str] = {}
-            for i, spans in enumerate(b.column(len(names)).to_pylist()):
-                if not spans:
-                    continue
-                text, out, at = texts[i], [], 0
-                for s, e in sorted((x["start_char"], x["end_char"]) for x in spans):
-                    if s > at:
-                        out.append(text[at:s])
-                    at = max(at, e)
-                text = "".join([*out, text[at:]])
-                changed[i] = text
-                keep[i] = any(ch.isalnum() for ch in text)
+            keep, given = np.ones(b.num_rows, bool), pc.is_valid(b.column(len(names)))
+            # only texts that lose something become Python strings
+            at = np.flatnonzero(given.to_numpy(zero_copy_only=False))
+            changed: list[str] = []
+            for i in at.tolist():
+                text, out, end = cols[t][i].as_py(), [], 0
+                for s, e in sorted((x["start_char"], x["end_char"]) for x in b.column(len(names))[i].as_py()):
+                    if s > end:
+                        out.append(text[end:s])
+                    end = max(end, e)
+                changed.append("".join([*out, text[end:]]))
+                keep[i] = any(ch.isalnum() for ch in changed[-1])
             if changed:
-                cols[t] = pa.array([changed.get(i, x) for i, x in enumerate(texts)], cols[t].type)
+                cols[t] = pc.replace_with_mask(cols[t], given, pa.array(changed, cols[t].type))
                 if n is not None:
-                    cols[n] = pa.array([len(changed[i]) if i in changed else x for i, x in enumerate(cols[n].to_pylist())], cols[n].type)
+                    cols[n] = pc.replace_with_mask(cols[n], given, pa.array([len(x) for x in changed], cols[n].type))
             yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep))
 
     return rows.mapInArrow(run, docs.schema)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from foliospark.llm import substring
 
@@ -143,3 +144,14 @@ def test_bytes_around_travel():
     size = np.array([44, 8, 0, 8, 44])
     got = substring._around(substring._binary(around, size).slice(1), 44)
     assert [list(x) for x in got] == [[*x[:n], *[0] * (44 - n)] for x, n in zip(around.tolist()[1:], size[1:], strict=True)]
+
+
+def test_batches_go_in_small_parts():
+    texts = ["x" * 200_000, None, "y" * 250_000, "", "z" * 900_000, "w"]
+    b = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], names=["k", "part"])
+    parts = list(substring.small([b, b.slice(0, 0)], 1))
+    assert [v for x in parts for v in x.column(1).to_pylist()] == texts
+    assert all(x.num_rows == 1 or x.nbytes < substring.PIECE_CHARS + 200 for x in parts) and len(parts) > 2
+    lists = pa.RecordBatch.from_arrays([pa.array([[1] * 5000, [], None, [2] * 9000, [3]])], names=["links"])
+    parts = list(substring.small([lists], 0))
+    assert [v for x in parts for v in x.column(0).to_pylist()] == [[1] * 5000, [], None, [2] * 9000, [3]] and len(parts) > 1
