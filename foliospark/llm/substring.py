@@ -14,7 +14,7 @@ stands for all of them. About 2 n / min_words nodes of n qualify; they are found
    passage, so a link to the first (lowest doc_id) loses none. Groups of min-hashes link to their first and, so that one who
    shares only the near side hides nobody, to the first of each split by four runs round c, all of them or three.
    A task links its own windows so and sends on those that are first in any split: what it keeps back has a
-   link in every split, and its partner goes on in its place.
+   link in every split, and its partner goes on in its place. Links of one pair that lie on one diagonal and meet travel as one.
 2. Links of one pair of documents are interval-joined: overlapping windows on about one diagonal are one candidate.
 3. Candidates take their stretches of text from both documents in one native join, which AQE may split for a hot
    partner; the two of a pair then meet, and are verified exactly: maximal stretches of shared shingles with Jaccard similarity ``least`` or more and
@@ -47,10 +47,6 @@ from .common import PIECE_CHARS, batch, codes_of, cut, mix64, pieces, span_hashe
 from .license_scan import fold, shingles
 
 SHINGLE, FUNCTIONS = 5, 2
-#: Kinds of links: function and side for min-hashes, then side for exact words.
-KINDS = 2 * FUNCTIONS + 2
-#: A link stands for two hashes that agree (or for equal words), so one is enough.
-ENOUGH = 1
 #: Rows of one key that are linked at once; of more, only those that lead a group are kept.
 HELD = 50_000
 #: Runs of shingles on each side of a window's anchor, whose min-hashes split groups of min-hashes.
@@ -310,18 +306,39 @@ def _around(b: pa.Array, wide: int) -> np.ndarray:
     return around
 
 
+def merged(d: np.ndarray, p: np.ndarray, own: list[np.ndarray], other: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """d, p, start, end, partner's start of links (own and other: l, c, r), one for those of a pair that ``stretches`` joins on one diagonal anyway:
+    the windows of one passage all give the same candidate, whatever their kind."""
+    (l, c, r), (pl, pc, pr) = own, other
+    start, end, off = c - np.minimum(c - l, pc - pl), c + np.minimum(r - c, pr - pc), pc - c
+    order = np.lexsort((start, off, p, d))
+    d, p, start, end, off = (z[order] for z in (d, p, start, end, off))
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (p[1:] != p[:-1]) | (off[1:] != off[:-1])
+    # the furthest end so far in each run of one pair and diagonal
+    run = np.cumsum(new) << 32
+    far = np.maximum.accumulate(run | end) - run
+    new[1:] |= start[1:] > far[:-1] + MARGIN
+    head = np.flatnonzero(new)
+    return d[head], p[head], start[head], far[np.append(head[1:], len(d)) - 1] if len(d) else end, start[head] + off[head]
+
+
 def _linked(key, ids, place, i, j, min_words) -> pa.RecordBatch:
-    """Links i -> j; their key only spreads them. Without j: rows for their groups."""
-    n = len(i)
-    own = key[i] if j is None else (mix64(key[i] + place[1][i].astype(np.uint64)) & ~np.uint64(7)) | (key[i] & np.uint64(7))
-    partner = [pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.int32())] * 3] if j is None else [pa.array(ids[j]), *(pa.array(z[j], pa.int32()) for z in place[:3])]
-    exact = (key[i] & np.uint64(7)) >= 2 * FUNCTIONS
-    around = _binary(place[3][i], np.where(exact, 2 * sides(min_words)[1], 2 * RUNS)) if j is None else pa.nulls(n, pa.binary())
-    return batch(key=pa.array(own.view(np.int64)), doc_id=pa.array(ids[i]), **_packed(*(z[i] for z in place[:3])), around=around, p=partner[0], pl=partner[1], pc=partner[2], pr=partner[3])
+    """Links i -> j, merged; their key only spreads them, and the anchor is the start. Without j: rows for their groups."""
+    if j is None:
+        own, d, at, p, to = key[i], ids[i], [z[i] for z in place[:3]], pa.nulls(len(i), pa.int64()), [pa.nulls(len(i), pa.int32())] * 3
+        around = _binary(place[3][i], np.where((own & np.uint64(7)) >= 2 * FUNCTIONS, 2 * sides(min_words)[1], 2 * RUNS))
+    else:
+        d, p, start, end, other = merged(ids[i], ids[j], [z[i] for z in place[:3]], [z[j] for z in place[:3]])
+        with np.errstate(over="ignore"):
+            own = mix64(mix64(d.astype(np.uint64)) + start.astype(np.uint64)) & ~np.uint64(7)
+        at, p, to = [start, start, end], pa.array(p), [pa.array(z, pa.int32()) for z in (other, other, other + end - start)]
+        around = pa.nulls(len(d), pa.binary())
+    return batch(key=pa.array(own.view(np.int64)), doc_id=pa.array(d), **_packed(*at), around=around, p=p, pl=to[0], pc=to[1], pr=to[2])
 
 
 def passage_links(df: DataFrame, min_words: int) -> DataFrame:
-    """Per link: doc_id, l, c, r, f (kind) and the partner's p, pl, pc, pr; doc_id > p."""
+    """Per link, of whatever kind: doc_id, l, c, r and the partner's p, pl, pc, pr; doc_id > p."""
 
     def run(batches):
         for b in batches:
@@ -335,7 +352,8 @@ def passage_links(df: DataFrame, min_words: int) -> DataFrame:
                 key, ids, place = key[order], ids[order], [z[order] for z in place]
                 i, j, needed = link(key, ids, place[3], min_words)
                 yield _linked(key, ids, place, np.flatnonzero(needed), None, min_words)
-                yield _linked(key, ids, place, i, j, min_words)
+                if len(i):
+                    yield _linked(key, ids, place, i, j, min_words)
 
     schema = "key long, doc_id long, place long, l int, r int, around binary, p long, pl int, pc int, pr int"
     rows = df.mapInArrow(run, schema).repartition("key").sortWithinPartitions("key", "doc_id", "place")
@@ -370,50 +388,32 @@ def passage_links(df: DataFrame, min_words: int) -> DataFrame:
         return [_links_only(_linked(key, ids, place, i, j, min_words))], needed
 
     def _links_only(b):
-        f = pc.bit_wise_and(b.column(0), 7).cast(pa.int32())
         l, c, r = (pa.array(z, pa.int32()) for z in _unpacked(b))
-        return pa.RecordBatch.from_arrays([b.column(1), l, c, r, f, *(b.column(k) for k in (6, 7, 8, 9))], names=["doc_id", "l", "c", "r", "f", "p", "pl", "pc", "pr"])
-
-    return rows.mapInArrow(meet, "doc_id long, l int, c int, r int, f int, p long, pl int, pc int, pr int").where("doc_id > p")
-
-
-def stretches(links: list[tuple[int, ...]], enough: int = ENOUGH) -> list[tuple[int, int, int, int]]:
-    """(start, end, partner start, partner end) where windows of ``enough`` kinds overlap; links: (kind, l, c, r, pl, pc, pr)."""
-    spans = []
-    for f, l, c, r, pl, pc, pr in links:
-        a, b = min(c - l, pc - pl), min(r - c, pr - pc)
-        spans.append((c - a, c + b, pc - a, pc + b, f))
-    # passages of one pair can lie on several diagonals
-    spans.sort(key=lambda s: (s[2] - s[0], s[0]))
-    groups: list[list] = []
-    for s in spans:
-        if groups and (s[2] - s[0]) - (groups[-1][-1][2] - groups[-1][-1][0]) <= MARGIN:
-            groups[-1].append(s)
-        else:
-            groups.append([s])
-    out = []
-    for g in groups:
-        events = sorted([(s[0], 1, s[4]) for s in g] + [(s[1], 0, s[4]) for s in g])
-        count, have, began = [0] * KINDS, 0, None
-        found: list[list[int]] = []
-        for at, opens, f in events:
-            if opens:
-                count[f] += 1
-                have += count[f] == 1
-                if have == enough and began is None:
-                    began = at
-            else:
-                count[f] -= 1
-                have -= count[f] == 0
-                if have < enough and began is not None:
-                    if found and began - found[-1][1] <= MARGIN:
-                        found[-1][1] = at
-                    else:
-                        found.append([began, at])
-                    began = None
-        low, high = min(s[2] - s[0] for s in g), max(s[2] - s[0] for s in g)
-        out += [(max(0, a - MARGIN), b + MARGIN, max(0, a + low - MARGIN), b + high + MARGIN) for a, b in found]
-    return out
+        return pa.RecordBatch.from_arrays([b.column(1), l, c, r, *(b.column(k) for k in (6, 7, 8, 9))], names=["doc_id", "l", "c", "r", "p", "pl", "pc", "pr"])
+
+    return rows.mapInArrow(meet, "doc_id long, l int, c int, r int, p long, pl int, pc int, pr int").where("doc_id > p")
+
+
+def stretches(pair: np.ndarray, own: list[np.ndarray], other: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """pair, start, end, partner start, partner end where links (own and other: l, c, r) of one pair overlap or nearly do, on about one diagonal."""
+    none = np.zeros(len(pair), np.int64)
+    pair, _, start, end, at = merged(pair, none, own, other)
+    if not len(pair):
+        return pair, start, end, at, at
+    off = at - start
+    # passages of one pair can lie on several diagonals; merged leaves them in order
+    new = np.ones(len(pair), bool)
+    new[1:] = (pair[1:] != pair[:-1]) | (off[1:] - off[:-1] > MARGIN)
+    group, head = np.cumsum(new) - 1, np.flatnonzero(new)
+    low, high = np.minimum.reduceat(off, head), np.maximum.reduceat(off, head)
+    order = np.lexsort((start, group))
+    pair, start, end, group = (z[order] for z in (pair, start, end, group))
+    run = (group + 1) << 32
+    far = np.maximum.accumulate(run | end) - run
+    new[1:] = (group[1:] != group[:-1]) | (start[1:] > far[:-1] + MARGIN)
+    head = np.flatnonzero(new)
+    a, b, g = start[head], far[np.append(head[1:], len(far)) - 1], group[head]
+    return pair[head], np.maximum(0, a - MARGIN), b + MARGIN, np.maximum(0, a + low[g] - MARGIN), b + high[g] + MARGIN
 
 
 def verify(a: str, b: str, min_words: int, least: float) -> list[tuple[int, int, int, int, int, float]]:
@@ -498,21 +498,16 @@ def passages(df: DataFrame, *, min_words: int = 50, least: float = 0.8, id_col:
         raise ValueError(f"passages have more than {SHINGLE} words")
     base = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
     links = passage_links(base, min_words)
-    paired = links.groupBy("doc_id", "p").agg(F.collect_list(F.struct("f", "l", "c", "r", "pl", "pc", "pr")).alias("links"))
+    paired = links.groupBy("doc_id", "p").agg(F.collect_list(F.struct("l", "c", "r", "pl", "pc", "pr")).alias("links"))
 
     def join(batches):
         for b in small(batches, 2):
-            rows = []
             lists = b.column(2)
-            ends = lists.offsets.to_pylist()
-            # columns, not a dict for each link; a task and its group can give the same one
-            got = list(zip(*(x.to_pylist() for x in lists.values.flatten()), strict=True))
-            for k, (d, p) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
-                for s in stretches(list(set(got[ends[k] : ends[k + 1]]))):
-                    rows.append((d, p, *s))
-            if rows:
-                c = list(zip(*rows, strict=True))
-                yield batch(doc_id=pa.array(c[0], pa.int64()), p=pa.array(c[1], pa.int64()), s=pa.array(c[2], pa.int32()), e=pa.array(c[3], pa.int32()), ps=pa.array(c[4], pa.int32()), pe=pa.array(c[5], pa.int32()))
+            pair = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+            l, c, r, pl, at, pr = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in lists.values.flatten())
+            k, s, e, ps, pe = stretches(pair, [l, c, r], [pl, at, pr])
+            if len(k):
+                yield batch(doc_id=b.column(0).take(pa.array(k)), p=b.column(1).take(pa.array(k)), **{name: pa.array(z, pa.int32()) for name, z in zip(("s", "e", "ps", "pe"), (s, e, ps, pe), strict=True)})
 
     found = cut(paired.mapInArrow(join, "doc_id long, p long, s int, e int, ps int, pe int"))
     # texts that no candidate needs stay where they are, as long as the list of the others is small

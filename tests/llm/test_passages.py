@@ -155,3 +155,46 @@ def test_batches_go_in_small_parts():
     lists = pa.RecordBatch.from_arrays([pa.array([[1] * 5000, [], None, [2] * 9000, [3]])], names=["links"])
     parts = list(substring.small([lists], 0))
     assert [v for x in parts for v in x.column(0).to_pylist()] == [[1] * 5000, [], None, [2] * 9000, [3]] and len(parts) > 1
+
+
+def test_links_of_a_passage_travel_as_one(spark):
+    """The windows of one long passage gave a link each, on tables with a very common passage six times as many as on others."""
+    p = prose(3, 600)
+    texts = [prose(4, 80) + " " + p, prose(5, 90) + " " + p + " " + prose(6, 80), p]
+    links = substring.passage_links(documents(spark, texts).coalesce(1).select("doc_id", "text"), 50).collect()
+    # one from the task, one from the group
+    assert {(r.doc_id, r.p) for r in links} == {(1, 0), (2, 0)} and len(links) <= 4
+
+
+def test_merged_links_give_the_same_candidates():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        n = int(rng.integers(1, 60))
+        pair, c, off = rng.integers(0, 5, n), 1000 + rng.integers(0, 3000, n), rng.choice([0, 7, 130, 900, -50], n)
+        a, b = rng.integers(1, 200, n), rng.integers(1, 200, n)
+        own, other = [c - a, c, c + b], [c + off - a, c + off, c + off + b]
+        got = set(zip(*(z.tolist() for z in substring.stretches(pair, own, other)), strict=True))
+        want = set()
+        for k in set(pair.tolist()):
+            for d in chained(set(off[pair == k].tolist())):
+                at = {i for x, y, z, o in zip(pair, c - a, c + b, off, strict=True) if x == k and o in d for i in range(int(y), int(z) + 1)}
+                for s, e in spans(sorted(at)):
+                    want.add((k, max(0, s - substring.MARGIN), e + substring.MARGIN, max(0, s + min(d) - substring.MARGIN), e + max(d) + substring.MARGIN))
+        assert got == want
+
+
+def chained(values):
+    """Sets of values whose neighbours are within the margin."""
+    out = []
+    for v in sorted(values):
+        if out and v - max(out[-1]) <= substring.MARGIN:
+            out[-1].add(v)
+        else:
+            out.append({v})
+    return out
+
+
+def spans(places):
+    """First and last of the runs of places with no gap above the margin."""
+    cuts = [k for k in range(1, len(places)) if places[k] - places[k - 1] > substring.MARGIN]
+    return [(places[i], places[j - 1]) for i, j in zip([0, *cuts], [*cuts, len(places)], strict=True)]
