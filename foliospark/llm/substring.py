@@ -429,19 +429,45 @@ def verify_all(pairs: list[tuple[str, str]], min_words: int, least: float) -> It
         texts += [a] if a == b else [a, b]
     start, end, doc, _, token, at = tokens_of(texts)
     edge = np.searchsorted(doc, np.arange(len(texts) + 1))
+    # numbers for shingles, 0 for none: what one pair asks of sets is then looked up, not sorted
+    number = np.unique(np.append(token, np.uint64(0)), return_inverse=True)[1][:-1]
+    notes = np.zeros((3, int(number.max(initial=0)) + 1), np.int64), np.zeros(int(number.max(initial=0)) + 1, bool)
     for i, j in at_text:
         p, q = slice(edge[i], edge[i + 1]), slice(edge[j], edge[j + 1])
-        yield _shared(token[p], start[p] - at[i], end[p] - at[i], token[q], start[q] - at[j], end[q] - at[j], min_words, least)
+        yield _shared(number[p], start[p] - at[i], end[p] - at[i], number[q], start[q] - at[j], end[q] - at[j], min_words, least, notes)
 
 
-def _shared(x, start, end, y, y_start, y_end, min_words: int, least: float) -> list[tuple[int, int, int, int, int, float]]:
+def _middle(u: np.ndarray) -> int:
+    """The median, towards zero."""
+    if u[0] == u[-1] and (u == u[0]).all():
+        return int(u[0])
+    k = len(u) // 2
+    if len(u) % 2:
+        return int(np.partition(u, k)[k])
+    u = np.partition(u, (k - 1, k))
+    return int((int(u[k - 1]) + int(u[k])) / 2)
+
+
+def _distinct(x: np.ndarray, seen: np.ndarray) -> tuple[int, np.ndarray]:
+    """How many different numbers, and one place of each."""
+    at = np.arange(len(x))
+    seen[x] = at
+    once = seen[x] == at
+    return int(np.count_nonzero(once)), once
+
+
+def _shared(x, start, end, y, y_start, y_end, min_words: int, least: float, notes) -> list[tuple[int, int, int, int, int, float]]:
+    """x and y: numbers of shingles. notes: room for three integers and a flag, unset, for each number."""
+    (first, last, seen), flag = notes
     y_at = np.flatnonzero(y)
     if not len(y_at) or not x.any():
         return []
-    values, first = np.unique(y[y_at], return_index=True)
-    last = len(y_at) - 1 - np.unique(y[y_at][::-1], return_index=True)[1]
-    k = np.minimum(np.searchsorted(values, x), len(values) - 1)
-    hit = np.flatnonzero((values[k] == x) & (x != 0))
+    # of repeated numbers the last one written stays
+    first[y[y_at[::-1]]] = y_at[::-1]
+    last[y[y_at]] = y_at
+    flag[y[y_at]] = True
+    hit = np.flatnonzero(flag[x])
+    flag[y[y_at]] = False
     out = []
 
     # the whole candidate first; what is not alike as a whole is split at its widest gap
@@ -450,24 +476,27 @@ def _shared(x, start, end, y, y_start, y_end, min_words: int, least: float) -> l
         h = left.pop()
         if not len(h) or h[-1] - h[0] + SHINGLE < min_words:
             continue
-        own = np.unique(x[h[0] : h[-1] + 1])
-        lo, hi = y_at[first[k[h]]] - (h - h[0]), y_at[last[k[h]]] + (h[-1] - h)
+        own = x[h[0] : h[-1] + 1]
+        flag[own] = True
+        n_own = _distinct(own, seen)[0]
+        lo, hi = first[x[h]] - (h - h[0]), last[x[h]] + (h[-1] - h)
         best = None
         # the diagonal of the whole, or that of each end where words stand between them on one side only
         for u, v in ((lo, hi), (lo[:ENDS], hi[-ENDS:])):
-            p, q = max(0, int(np.median(u))), min(len(y) - 1, int(np.median(v)))
+            p, q = max(0, _middle(u)), min(len(y) - 1, _middle(v))
             # the partner's stretch: from the first to the last of its shingles near the diagonal that are shared
-            shared = np.flatnonzero(np.isin(y[p : q + 1], own))
+            shared = np.flatnonzero(flag[y[p : q + 1]])
             if len(shared):
                 p, q = p + int(shared[0]), p + int(shared[-1])
-                other = np.unique(y[p : q + 1])
-                other = other[other != 0]
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                j = both / (len(own) + len(other) - both)
+                other = y[p : q + 1]
+                n_other, once = _distinct(other, seen)
+                both = int(np.count_nonzero(flag[other] & once))
+                j = both / (n_own + n_other - both)
                 if best is None or j > best[0]:
                     best = j, p, q
             if best and best[0] >= least:
                 break
+        flag[own] = False
         if best and best[0] >= least:
             j, p, q = best
             out.append((int(start[h[0]]), int(end[h[-1] + SHINGLE - 1]), int(y_start[p]), int(y_end[q + SHINGLE - 1]), int(h[-1] - h[0] + SHINGLE), float(j)))

@@ -198,3 +198,16 @@ def spans(places):
     """First and last of the runs of places with no gap above the margin."""
     cuts = [k for k in range(1, len(places)) if places[k] - places[k - 1] > substring.MARGIN]
     return [(places[i], places[j - 1]) for i, j in zip([0, *cuts], [*cuts, len(places)], strict=True)]
+
+
+def test_pairs_verified_together_do_not_touch_each_other():
+    """Shingles are numbered once for all pairs of a pass; similarity is that of their sets."""
+    t = [prose(k, 120) for k in range(4)]
+    pairs = [(t[0], edit(t[0], 1, 60)), (t[1], t[0]), (t[0], t[0]), (t[2] + " " + t[2], t[2]), (t[3], t[1] + " " + t[3]), ("", t[0]), (t[0], edit(t[0], 1, 60))]
+    together = list(substring.verify_all(pairs, 50, 0.8))
+    assert together == [substring.verify(a, b, 50, 0.8) for a, b in pairs]
+    assert together[1] == together[5] == [] and together[2][0][5] == 1.0
+    for (a, b), found in zip(pairs, together, strict=True):
+        for s, e, ps, pe, n, j in found:
+            x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a[s:e].split(), b[ps:pe].split()))
+            assert n == len(a[s:e].split()) and j == pytest.approx(len(x & y) / len(x | y))
