@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,11 +39,17 @@ def code128_bars(text: pd.Series) -> pd.Series:
     return text.map(_safe(code128.encode))
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
-def qr_modules(text: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+def qr_modules(text: pa.Array) -> pa.Array:
+    """Rows of modules; null where the text is too long. The symbols of a batch are made together."""
     from ..codes import qr
 
-    return text.map(_safe(qr.encode))
+    made = qr.encode_all(text.to_pylist())
+    sizes = np.array([0 if m is None else len(m) for m in made], np.int64)
+    values = np.concatenate([np.empty(0, np.int32), *[m.ravel() for m in made if m is not None]]).astype(np.int32)
+    starts = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+    rows = pa.ListArray.from_arrays(starts(np.repeat(sizes, sizes)), pa.array(values))
+    return pa.ListArray.from_arrays(starts(sizes), rows, mask=pa.array(sizes == 0))
 
 
 @F.pandas_udf(T.IntegerType())
