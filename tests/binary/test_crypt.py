@@ -52,3 +52,13 @@ def test_unknown_handlers():
     for d in ({"Filter": "Other"}, {"Filter": "Standard", "V": 3}, {"Filter": "Standard", "V": 5, "R": 5}):
         with pytest.raises(PdfError):
             crypt.Handler(d, b"")
+
+
+def test_owner_password_takes_one_attempt(monkeypatch):
+    data = Pdf().text("hidden").export(user_password="u", owner_password="o", cipher="aes128")
+    keys = []
+    fits = crypt.Handler._fits
+    monkeypatch.setattr(crypt.Handler, "_fits", lambda self, key: keys.append(key) or fits(self, key))
+    assert [r["text"] for r in extract(data, {"runs"}, password="o")["runs"]] == ["hidden"] and len(keys) == 1
+    assert [r["text"] for r in extract(data, {"runs"}, password="u")["runs"]] == ["hidden"]
+    assert extract(data, {"docs"}, password="x")["docs"][0]["error"]["code"] == "wrong_password"
