@@ -11,7 +11,7 @@ from pyspark.sql.types import _parse_datatype_string
 from .. import schemas
 
 #: Rows that one Arrow batch of results holds at most.
-BATCH_ROWS = 10_000
+BATCH_ROWS = 1_000
 
 
 def read_files(spark: SparkSession, path: str | list[str], glob: str = "*.pdf") -> DataFrame:

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from ..session import spread
 
+#: Documents and bytes that one Arrow batch of made documents holds at most (one document may be larger).
+BATCH_DOCUMENTS, BATCH_BYTES = 256, 4_000_000
+
 
 def map_documents(df: DataFrame, make: Callable[[dict], bytes | None], id_col: str = "doc_id") -> DataFrame:
     """doc_id, content: the bytes that ``make`` gives of each row (None: no content). One row in, one out; no shuffle but for an input of few partitions."""
@@ -17,9 +20,15 @@ def map_documents(df: DataFrame, make: Callable[[dict], bytes | None], id_col: s
 
     def run(batches):
         for b in batches:
-            for k in range(0, b.num_rows, 256):  # bounded output batches
-                rows = b.slice(k, 256).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array([r[id_col] for r in rows], pa.int64()), pa.array([make(r) for r in rows], pa.binary())], names=["doc_id", "content"])
+            ids, contents, size = [], [], 0
+            for k in range(b.num_rows):
+                (r,) = b.slice(k, 1).to_pylist()
+                ids.append(r[id_col])
+                contents.append(made := make(r))
+                size += len(made or b"")
+                if len(ids) >= BATCH_DOCUMENTS or size >= BATCH_BYTES or k + 1 == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(contents, pa.binary())], names=["doc_id", "content"])
+                    ids, contents, size = [], [], 0
 
     rows = df.select(*[F.col(n).cast("long").alias(n) if n == id_col else F.col(n) for n in names])
     return spread(rows).mapInArrow(run, "doc_id long, content binary")

@@ -122,3 +122,10 @@ def test_windows_of_streams(spark, tmp_path):
     q.awaitTermination(120)
     assert {(r.start, r.n) for r in spark.table("w").collect()} == batch and len(batch) == 4
     assert ingest.sessions(rows).count() == 12 and ingest.sessions(rows, gap="1 hour").count() == 2
+
+
+def test_made_documents_leave_in_bounded_batches(spark, monkeypatch):
+    monkeypatch.setattr(sinks, "BATCH_BYTES", 100)
+    rows = spark.range(0, 700, 1, 1).withColumnRenamed("id", "doc_id")
+    made = sinks.map_documents(rows, lambda r: None if r["doc_id"] == 3 else b"x" * (r["doc_id"] % 90)).collect()
+    assert sorted((r.doc_id, None if r.content is None else len(r.content)) for r in made) == [(k, None if k == 3 else k % 90) for k in range(700)]
